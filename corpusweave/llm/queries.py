@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusweave.llm import bpe, token_counts, tokens
 from corpusweave.llm.jaccard_join import jaccard_join
+from corpusweave.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +48,22 @@ FROM documents d JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """)
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, found in the flat token files that they are written to."""
+    blocks = token_counts.write_token_blocks(table(spark, sf_dir, "documents"))
+    end_id = max(tokens.vocabulary(tokens.default_path()).special.values())
+    return token_counts.count_tokens(blocks, end_id).select("doc_id", "n_tokens")
