@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm import bpe, token_counts, tokens
 from corpusweave.llm.jaccard_join import jaccard_join
 from corpusweave.llm.packing import pack
+from corpusweave.llm.repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_counts.write_token_blocks(table(spark, sf_dir, "documents"))
     end_id = max(tokens.vocabulary(tokens.default_path()).special.values())
     return token_counts.count_tokens(blocks, end_id).select("doc_id", "n_tokens")
+
+
+@query()
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
