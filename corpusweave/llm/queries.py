@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import bpe, token_counts, tokens, toxicity
 from corpusweave.llm.jaccard_join import jaccard_join
+from corpusweave.llm.line_rules import BOILERPLATE, CLOSED, MOST_LOST, SEPARATORS, SYMBOLS, clean_lines
 from corpusweave.llm.packing import pack
 from corpusweave.llm.repeats import remove_repeats
 
@@ -82,3 +83,37 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+_LINE_CLOSED, _LINE_BOILERPLATE = CLOSED.replace("'", "''"), BOILERPLATE.replace("'", "''")
+
+
+@query(f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM d WHERE len(ws) >= 8),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS n FROM g),
+r AS (
+  SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM h WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(ls) AS x FROM d),
+c AS (
+  SELECT doc_id, x, length(x) AS n, length(regexp_replace(x, '[A-Z]', '', 'g')) AS no_upper, length(regexp_replace(x, '[a-z]', '', 'g')) AS no_lower,
+         length(x) - length(regexp_replace(x, '[{SEPARATORS}]', '', 'g')) AS seps, length(x) - length(regexp_replace(x, '[{SYMBOLS}]', '', 'g')) AS syms,
+         regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS ws FROM l),
+f AS (
+  SELECT doc_id, sum(n) AS lost FROM c WHERE NOT regexp_matches(x, '{_LINE_CLOSED}') OR syms * 10 > n OR (seps >= 3 AND seps * 20 > n)
+    OR (n - no_upper >= 10 AND n - no_upper > n - no_lower) OR (len(ws) >= 10 AND len(list_distinct(ws)) * 10 < len(ws)) OR regexp_matches(lower(x), '{_LINE_BOILERPLATE}')
+  GROUP BY doc_id),
+m AS (
+  SELECT doc_id, t, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= {MOST_LOST} * length(t) AS kept
+FROM m
+""")
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
