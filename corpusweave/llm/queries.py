@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, token_counts, tokens, toxicity
+from corpusweave.llm import bpe, secrets, token_counts, tokens, toxicity
 from corpusweave.llm.jaccard_join import jaccard_join
 from corpusweave.llm.line_rules import BOILERPLATE, CLOSED, MOST_LOST, SEPARATORS, SYMBOLS, clean_lines
 from corpusweave.llm.packing import pack
@@ -117,3 +117,37 @@ FROM m
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clean_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_spans(kind: int, pattern: str, value: int, keep: str) -> str:
+    """Spans of a pattern in DuckDB, from the pieces between its matches."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {kind} AS kind, s AS "start", e AS "end" FROM (
+    SELECT doc_id, list_sum(list_transform(gaps[:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda g: length(g))), 0)::BIGINT AS s,
+           s + length(hits[i]) AS e, vals[i] AS v
+    FROM (SELECT doc_id, hits, gaps, vals, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', {value}) AS vals FROM d)))
+  WHERE {keep}"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join([
+    _sql_spans(0, secrets.ASSIGN, 2, "length(v) >= 8"), _sql_spans(1, secrets.ACCESS, 0, "e - s >= 16"), _sql_spans(2, secrets.HEX, 0, "true"), _sql_spans(3, secrets.ASSIGN, 2, "length(v) < 8"),
+    _sql_spans(3, secrets.WEAK_SECRET, 0, "true"), _sql_spans(4, secrets.WEAK_ID, 0, "true"), _sql_spans(5, secrets.WEAK_ENDPOINT, 0, "true")])}),
+c AS (SELECT DISTINCT doc_id, kind, "start", "end", unnest(range("start" // 256 - 1, ("end" - 1) // 256 + 1)) AS scope FROM p),
+n AS (SELECT doc_id, scope, bool_or(kind IN (0, 2, 3)) AS secret, bool_or(kind IN (1, 4)) AS ident FROM c GROUP BY ALL),
+w AS (SELECT DISTINCT doc_id, kind, "start", "end" FROM c JOIN n USING (doc_id, scope)
+      WHERE (kind = 3 AND ident) OR (kind = 4 AND secret) OR (kind = 5 AND ident AND secret)),
+a AS (SELECT doc_id, kind, "start", "end" FROM p WHERE kind < 3 UNION ALL SELECT * FROM w),
+k AS (SELECT *, concat(['assign', 'access', 'hex', 'weak_secret', 'weak_id', 'weak_endpoint'][kind + 1], ':', "start", ':', "end") AS x FROM a),
+o AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             coalesce(string_agg(x, ',' ORDER BY "start", kind, "end") FILTER (kind < 3), '') AS base, coalesce(string_agg(x, ',' ORDER BY "start", kind, "end"), '') AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (doc_id)
+""")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(secrets.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
