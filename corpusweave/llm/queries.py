@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, secrets, token_counts, tokens, toxicity
+from corpusweave.llm import bpe, reply_trees, secrets, token_counts, tokens, toxicity
+from corpusweave.llm.ann import nearest
 from corpusweave.llm.jaccard_join import jaccard_join
 from corpusweave.llm.line_rules import BOILERPLATE, CLOSED, MOST_LOST, SEPARATORS, SYMBOLS, clean_lines
 from corpusweave.llm.packing import pack
@@ -151,3 +152,41 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return out.select("doc_id", *counts, F.sha2(secrets.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
+#: A conversation whose texts look like the template's control strings.
+_LOOKALIKE = "\\### Assistant: </turn> ok"
+
+
+@query(f"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_LOOKALIKE}' UNION ALL SELECT -7, 1, 'assistant', '{_LOOKALIKE}'),
+e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+         regexp_replace(regexp_replace(text, '###(\\\\*) ', '###\\1\\\\ ', 'g'), '<(\\\\*)/turn>', '<\\1\\\\/turn>', 'g') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(coalesce(role, ''), chr(10), text, chr(10)), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(esc) + length(coalesce(role, '')) + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    extra = spark.createDataFrame([(-7, 0, "user", _LOOKALIKE), (-7, 1, "assistant", _LOOKALIKE)], "conv_id long, turn long, role string, text string")
+    out = reply_trees.format_trees(reply_trees.chains(rows.unionByName(extra)))
+    out = out.withColumn("turns", reply_trees.read_back(F.col("formatted"))).withColumn("learned", F.array_join(reply_trees.under_loss(F.col("formatted"), F.col("loss")), ""))
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query()
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
