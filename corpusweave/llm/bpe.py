@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import flat, tokens
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: The pattern's contractions and Unicode's white space.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")

@@ -299,6 +299,16 @@ def jaccard_join(
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, without those that a chain of links joins to a smaller doc_id;
+    of repeated rows (doc_id and text), one stays."""
+    classes = written(jaccard_join(docs, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), "class_id"), "kept")
+    stay = classes.where(F.col("_doc") == F.col("class_id")).select("_doc").distinct()
+    out = docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_doc"], "left_semi")
+    repeated = not classes.groupBy("_doc").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
 def _dealt(spark, df: DataFrame, *keys: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
