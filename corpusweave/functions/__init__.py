@@ -1 +1 @@
-"""corpusweave.functions"""
+"""Column functions."""

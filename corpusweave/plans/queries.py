@@ -1,40 +1,9 @@
-"""The engine's registered queries, each with its SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusweave.plans import corpus_queries, group_queries, text_queries  # noqa: F401  they register themselves
+from corpusweave.plans.registry import QUERIES, SQL
+from corpusweave.plans.text_queries import doc_comma_summary_by_lang
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusweave.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query("""
-SELECT lang, count(*) AS n_docs, sum(length(text) - length(replace(text, ',', ''))) AS n_commas,
-       avg(1000.0 * (length(text) - length(replace(text, ',', ''))) / greatest(length(text), 1)) AS comma_per_1k_chars
-FROM documents GROUP BY lang
-""")
-def doc_comma_summary_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commas = F.char_length("text") - F.char_length(F.replace("text", F.lit(","), F.lit("")))
-    return (
-        table(spark, sf_dir, "documents")
-        .groupBy("lang")
-        .agg(F.count("*").alias("n_docs"), F.sum(commas).alias("n_commas"), F.avg(F.lit(1000.0) * commas / F.greatest(F.char_length("text"), F.lit(1))).alias("comma_per_1k_chars"))
-    )
+__all__ = ["QUERIES", "SQL", "doc_comma_summary_by_lang"]
