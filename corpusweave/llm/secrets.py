@@ -131,10 +131,14 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The rows of docs, all columns, with secrets redacted; n_chars, if there, follows the text.
     Rows without a finding don't take part in the join."""
-    found = find_secrets(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "spans").distinct()
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(3))
-    out = docs.withColumn("_row_key", key).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row_key") == F.col("_key")), "left")
-    out = out.withColumn("text", F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    found = find_secrets(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("doc"), "key", "spans").distinct()
+    # The row as a struct, so that no column of docs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(3)).alias("row_key"))
+    out = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.col("row_key") == F.col("key")), "left")
+    hit, text = F.col("spans").isNotNull(), F.col("row.text")
+    clean = F.when(hit, redact(text, F.col("spans"))).otherwise(text)
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    cols["text"] = clean
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(hit, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return out.select(*[v.alias(c) for c, v in cols.items()])

@@ -18,7 +18,8 @@ The fit takes at most about `train_rows` labelled rows, chosen by a hash of doc_
 `max_units` units, so the model that is sent to the executors is bounded. Defined cases: null and
 empty texts have no words and get the score of no evidence; several labels of one doc_id count as
 their largest; without toxic or without clean training rows the lexicon is empty and every score
-is the share of toxic rows (0 without rows). Other columns are ignored.
+is near 1 or 0, as their labels say (0 without rows); where the rows for the curve hold fewer
+than 10 of a label, it has slope 1 and starts at the share of toxic rows, below the cut. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ MAX_UNITS = 200_000
 PRIOR, PRIOR_SHARE = 1000.0, 0.05
 Z, LEAST_ODDS = 2.5, 1.5
 CUT = 0.3
+LEAST_JUDGED = 10
 STRIPPED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -234,8 +236,9 @@ def _calibrated(whole: tuple[dict, dict], partial: tuple[dict, dict], seen: list
     rate = (low + high) / 2
     model = Model(*whole, other=other, rate=rate)
     judged = [r for r in seen if r["third"]]
-    if not any(r["toxic"] for r in judged) or all(r["toxic"] for r in judged):
-        model.slope, model.intercept = 1.0, 0.0
+    if min(sum(r["toxic"] for r in judged), sum(not r["toxic"] for r in judged)) < LEAST_JUDGED:
+        share = (sum(r["toxic"] for r in seen) + 0.5) / (len(seen) + 1)
+        model.slope, model.intercept = 1.0, min(-1.0, math.log(share / (1 - share)))  # without evidence, under the cut
         return model
     x = np.array([model.evidence(r["n"], [(0, 0, p["score"]) for p in r["part_hits"]]) for r in judged])
     y = np.array([r["toxic"] for r in judged], float)
