@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import flat, tokens
 
+#: Texts of one merge pass; a worker's arrays take about 40 times as much.
 BLOCK_BYTES = 4 << 20
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: The pattern's contractions and Unicode's white space.
