@@ -16,11 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def windows(items: Column, size: int, stride: int = 1, least: int | None = None) -> Column:
     """Windows of `size` items, every `stride`; a shorter array of at least `least` items is one
     window, and a trailing partial window is dropped."""
-    n = F.size(items)
-    full = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride)), lambda i: F.slice(items, i + 1, size))
-    empty = F.slice(F.array(items), 1, 0)
-    short = F.when(n >= least, F.array(items)).otherwise(empty) if least is not None else empty
-    return F.when(n >= size, full).otherwise(short)
+
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        full = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride)), lambda i: F.slice(a, i + 1, size))
+        empty = F.slice(F.array(a), 1, 0)
+        short = F.when(n >= least, F.array(a)).otherwise(empty) if least is not None else empty
+        return F.when(n >= size, full).otherwise(short)
+
+    return let(items, of)
 
 
 def ngrams(items: Column, n: int, joiner: str = "\u0001") -> Column:
@@ -52,49 +56,65 @@ def _sum(values: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, c: acc + body(c))
 
 
-def over_counts(items: Column, body: Callable[[Column, Column], Column], empty: float = 0.0) -> Column:
-    """body(counts, total) of the items, or `empty`."""
-    return F.when(F.size(items) > 0, let(counts(items), lambda c: body(c, F.size(items).cast("double")))).otherwise(F.lit(empty))
+def _gini(c: Column, n: Column) -> Column:
+    weighted = let(F.array_sort(c), lambda s: F.aggregate(F.transform(s, lambda x, i: (x * (i + 1)).cast("double")), F.lit(0.0), lambda a, x: a + x))
+    return 2 * weighted / (F.size(c) * n) - (F.size(c) + 1) / F.size(c)
 
 
-def repeated_occurrence_rate(items: Column) -> Column:
-    return over_counts(items, lambda c, n: _sum(c, lambda x: F.when(x > 1, x).otherwise(0).cast("double")) / n)
+def _squares(c: Column) -> Column:
+    return _sum(c, lambda x: (x * x).cast("double"))
 
 
-def repetition_mass(items: Column) -> Column:
-    return over_counts(items, lambda c, n: _sum(c, lambda x: (x - 1).cast("double")) / n)
+def _top(k: int) -> Callable[[Column, Column], Column]:
+    return lambda c, n: _sum(F.slice(F.sort_array(c, asc=False), 1, k), lambda x: x.cast("double")) / n
 
 
-def shannon_entropy(items: Column) -> Column:
-    return over_counts(items, lambda c, n: -_sum(c, lambda x: x / n * F.ln(x / n)))
+#: Measures of the counts c of n items.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "yule_k": lambda c, n: F.lit(10000.0) * (_squares(c) - n) / (n * n),
+    "gini": _gini,
+    "simpson": lambda c, n: _squares(c) / (n * n),
+    "hill_d2_norm": lambda c, n: n * n / _squares(c) / F.size(c),
+    "entropy": lambda c, n: -_sum(c, lambda x: x / n * F.ln(x / n)),
+    "top_10": _top(10),
+    "repeat_rate": lambda c, n: _sum(c, lambda x: F.when(x > 1, x).otherwise(0).cast("double")) / n,
+    "repeat_mass": lambda c, n: _sum(c, lambda x: (x - 1).cast("double")) / n,
+    "hapax_rate": lambda c, n: _sum(c, lambda x: F.when(x == 1, 1.0).otherwise(0.0)) / n,
+    "max_rate": lambda c, n: F.array_max(c) / n,
+}
 
 
-def yule_k(items: Column) -> Column:
-    return over_counts(items, lambda c, n: F.lit(10000.0) * (_sum(c, lambda x: (x * x).cast("double")) - n) / (n * n))
+def measures(items: Column, *names: str) -> Column:
+    """struct of the named measures (all, if none is named), from one count of the items; null if
+    there are none."""
 
+    def of(a: Column) -> Column:
+        n = F.size(a).cast("double")
+        return F.when(n > 0, let(counts(a), lambda c: F.struct(*[MEASURES[k](c, n).alias(k) for k in names or MEASURES])))
 
-def simpson(items: Column) -> Column:
-    """The chance that two draws give the same item."""
-    return over_counts(items, lambda c, n: _sum(c, lambda x: (x * x).cast("double")) / (n * n))
+    return let(items, of)
 
 
-def hill_d2_norm(items: Column) -> Column:
-    return over_counts(items, lambda c, n: n * n / _sum(c, lambda x: (x * x).cast("double")) / F.size(c))
+def _one(items: Column, body: Callable[[Column, Column], Column]) -> Column:
+    return let(items, lambda a: F.when(F.size(a) > 0, let(counts(a), lambda c: body(c, F.size(a).cast("double")))).otherwise(F.lit(0.0)))
 
 
-def gini(items: Column) -> Column:
-    """The Gini coefficient of the items' counts."""
+def repeated_occurrence_rate(items: Column) -> Column:
+    """Share of the items that occur more than once; 0 if empty."""
+    return _one(items, MEASURES["repeat_rate"])
+
 
-    def of(c: Column, n: Column) -> Column:
-        weighted = let(F.array_sort(c), lambda s: F.aggregate(F.transform(s, lambda x, i: (x * (i + 1)).cast("double")), F.lit(0.0), lambda a, x: a + x))
-        return 2 * weighted / (F.size(c) * n) - (F.size(c) + 1) / F.size(c)
+def repetition_mass(items: Column) -> Column:
+    return _one(items, MEASURES["repeat_mass"])
 
-    return over_counts(items, of)
+
+def shannon_entropy(items: Column) -> Column:
+    return _one(items, MEASURES["entropy"])
 
 
 def coverage(items: Column, top: int) -> Column:
-    """Share of the `top` most frequent items."""
-    return over_counts(items, lambda c, n: _sum(F.slice(F.sort_array(c, asc=False), 1, top), lambda x: x.cast("double")) / n)
+    """Share of the `top` most frequent items; 0 if empty."""
+    return _one(items, _top(top))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

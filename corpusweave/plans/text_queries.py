@@ -97,19 +97,8 @@ FROM r JOIN (SELECT doc_id, sum(n)::DOUBLE AS total FROM c GROUP BY 1) t USING (
 """
 )
 def lexical_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(docs(spark, sf_dir)).where(F.size("t") > 0)
-    x = F.col("t")
-    return t.select(
-        "doc_id",
-        arrays.yule_k(x).alias("yule_k"),
-        arrays.gini(x).alias("gini"),
-        arrays.simpson(x).alias("simpson"),
-        arrays.hill_d2_norm(x).alias("hill_d2_norm"),
-        arrays.shannon_entropy(x).alias("entropy"),
-        arrays.coverage(x, 10).alias("top_10"),
-        arrays.repeated_occurrence_rate(x).alias("repeat_rate"),
-        arrays.repetition_mass(x).alias("repeat_mass"),
-    )
+    m = arrays.measures(F.col("t"), "yule_k", "gini", "simpson", "hill_d2_norm", "entropy", "top_10", "repeat_rate", "repeat_mass")
+    return tokens(docs(spark, sf_dir)).where(F.size("t") > 0).select("doc_id", F.inline(F.array(m)))  # computed once, not once a field
 
 
 @query(f"""
