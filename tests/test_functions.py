@@ -148,3 +148,29 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_sentences(spark):
     assert one(spark, text.sentences(F.col("t")), t=("string", " One.  Two! three\nfour? ")) == ["One.", "Two!", "three four?"]
     assert re.fullmatch("[0-9a-f]{16}", one(spark, text.fingerprint(F.col("t")), t=("string", "a b")))
+
+
+def test_lexical_and_rewrites(spark):
+    from difflib import SequenceMatcher
+
+    from corpusweave.functions import lexical
+    from corpusweave.operators import rewrite
+
+    tokens = ["a", "b", "a", "c"] * 10
+    assert one(spark, lexical.mtld(F.col("t")), t=("array<string>", tokens)) == lexical.mtld_value(tokens)
+    assert lexical.mtld_value(["a"] * 19) is None and lexical.mtld_value([str(k) for k in range(30)]) == 30.0
+    assert one(spark, lexical.normalized(F.col("t")), t=("string", "ＡＢ　c​\r\n-----\n see https://x.y\n\n\n\n\nd ")) == "AB c\n\n\nd"
+    got = one(spark, lexical.skip_features(F.col("t")), t=("array<string>", ["x", "y", "z"]))
+    assert [(r["kind"], r["skip"], r["key"]) for r in got] == [("unigram", 0, "x"), ("unigram", 0, "y"), ("unigram", 0, "z"), ("bigram", 0, "x\ty"), ("bigram", 0, "y\tz"), ("skip_bigram", 1, "x\tz")]
+    pairs = spark.createDataFrame([("one two two three", "two three four"), ("", "x y")], "s string, r string")
+    rows = {r["s"]: r for r in rewrite.rewrite_metrics(pairs, "s", "r").collect()}
+    r = rows["one two two three"]
+    assert (r["jaccard"], r["containment"]) == (2 / 5, 2 / 3) and math.isclose(r["char_ratio"], SequenceMatcher(None, "one two two three", "two three four").ratio())
+    assert rows[""]["jaccard"] == 0.0
+
+
+def test_measures_of_nothing(spark):
+    assert one(spark, arrays.measures(F.col("i")), i=("array<string>", [])) is None
+    assert one(spark, arrays.coverage(F.col("i"), 3), i=("array<string>", [])) == 0.0
+    assert one(spark, arrays.windows(F.col("i"), 3, 2, 2), i=("array<string>", list("ab"))) == [["a", "b"]]
+    assert one(spark, arrays.windows(F.col("i"), 3, 2), i=("array<string>", list("abcdef"))) == [["a", "b", "c"], ["c", "d", "e"]]
