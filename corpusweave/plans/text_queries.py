@@ -72,11 +72,12 @@ def longest_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", text.longest_run(t).alias("any_run"), text.longest_run(t, "[A-Za-z]").alias("letter_run"), text.longest_run(t, "[0-9]").alias("digit_run"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\n'), lambda x: trim(x)), lambda x: length(x) >= 12) AS ls, regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS ts FROM documents),
-g AS (SELECT doc_id, ls, CASE WHEN len(ts) >= 8 THEN list_transform(range(1, len(ts) - 6), lambda i: array_to_string(ts[i:i + 7], chr(1))) ELSE [] END AS gs FROM l)
-SELECT doc_id, CASE WHEN len(ls) > 0 THEN 1.0::DOUBLE - len(list_distinct(ls))::DOUBLE / len(ls) ELSE 0 END AS line_rate,
-       CASE WHEN len(gs) > 0 THEN 1.0::DOUBLE - len(list_distinct(gs))::DOUBLE / len(gs) ELSE 0 END AS ngram_rate FROM g
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n'), lambda x: trim(x)), lambda x: length(x) >= 12) AS ls, regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]') AS ts FROM documents),
+u AS (SELECT doc_id, unnest(ts) AS w, unnest(range(1, len(ts) + 1)) AS i FROM l),
+x AS (SELECT doc_id, w || {" || ".join(f"chr(1) || lead(w, {k}) OVER o" for k in range(1, 8))} AS x FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, 1.0::DOUBLE - count(DISTINCT x)::DOUBLE / count(*) AS r FROM x WHERE x IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(ls) > 0 THEN 1.0::DOUBLE - len(list_distinct(ls))::DOUBLE / len(ls) ELSE 0 END AS line_rate, coalesce(r, 0) AS ngram_rate FROM l LEFT JOIN g USING (doc_id)
 """)
 def repeated_lines_and_8grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", text.repeated_line_rate(F.col("text")).alias("line_rate"), text.repeated_ngram_rate(F.col("text")).alias("ngram_rate"))
@@ -102,10 +103,11 @@ def lexical_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {WORDS} AS t FROM documents), g AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], chr(1))) ELSE [] END AS g FROM t),
-c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY 1, 2)
-SELECT g.doc_id, CASE WHEN len(g) > 0 THEN len(list_distinct(g))::DOUBLE / len(g) ELSE 0 END AS diversity, coalesce(r.rate, 0) AS repeat_rate
-FROM g LEFT JOIN (SELECT doc_id, coalesce(sum(n) FILTER (n > 1), 0) / sum(n)::DOUBLE AS rate FROM c GROUP BY 1) r USING (doc_id)
+WITH u AS (SELECT doc_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {WORDS} AS t FROM documents)),
+x AS (SELECT doc_id, w || chr(1) || lead(w, 1) OVER o || chr(1) || lead(w, 2) OVER o AS x FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, x, count(*) AS n FROM x WHERE x IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT doc_id, count(*) / sum(n)::DOUBLE AS diversity, coalesce(sum(n) FILTER (n > 1), 0) / sum(n)::DOUBLE AS rate FROM c GROUP BY 1)
+SELECT doc_id, coalesce(diversity, 0) AS diversity, coalesce(rate, 0) AS repeat_rate FROM documents LEFT JOIN r USING (doc_id)
 """)
 def ngram_repeats_and_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tokens(docs(spark, sf_dir)).select("doc_id", arrays.ngrams(F.col("t"), 3).alias("g"))
