@@ -93,8 +93,9 @@ _LINE_CLOSED, _LINE_BOILERPLATE = CLOSED.replace("'", "''"), BOILERPLATE.replace
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM d WHERE len(ws) >= 8),
-h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS n FROM g),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, w || {" || ".join(f"' ' || lead(w, {k}) OVER o" for k in range(1, 8))} AS x FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g WHERE x IS NOT NULL),
 r AS (
   SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n_repeat_words
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM h WHERE n > 1) GROUP BY doc_id),
