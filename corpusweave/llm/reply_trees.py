@@ -55,17 +55,23 @@ def branches(messages: DataFrame, best: int | None = None) -> tuple[DataFrame, D
     links = messages.select("conv", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = links.select("conv", F.col("id").alias("parent"), F.lit(True).alias("there"))
     links = links.join(there, ["conv", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent")))
-    state = written(links.select("conv", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), "score"), "replies")
-    total, jumps = state.count(), []
-    while True:
-        jump = state.where("up IS NOT NULL").select("conv", "id", "up")
-        if jump.isEmpty() or (1 << len(jumps)) > 2 * total:
+    active = written(links.select("conv", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), "score"), "replies")
+    total, jumps, done = active.count(), [], []
+    while True:  # messages that have met their root leave the rounds
+        done.append(active.where("up IS NULL"))
+        rest = active.where("up IS NOT NULL")
+        if rest.isEmpty() or (1 << len(jumps)) > 2 * total:
             break
-        jumps.append(jump)
-        above = state.select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("score").alias("score2"))
-        state = state.join(above, ["conv", "up"], "left")
-        state = written(state.select("conv", "id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "replies")
-    leaves = state.where("up IS NULL").join(jumps[0].select("conv", F.col("up").alias("id")).distinct() if jumps else state.limit(0).select("conv", "id"), ["conv", "id"], "left_anti")
+        jumps.append(rest.select("conv", "id", "up"))
+        known = done[0]
+        for part in done[1:]:
+            known = known.unionByName(part)
+        above = known.unionByName(rest).select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("score").alias("score2"))
+        active = written(rest.join(above, ["conv", "up"]).select("conv", "id", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("score") + F.col("score2")).alias("score")), "replies")
+    state = done[0]
+    for part in done[1:]:
+        state = state.unionByName(part)
+    leaves = state.join(jumps[0].select("conv", F.col("up").alias("id")).distinct(), ["conv", "id"], "left_anti") if jumps else state
     ranked = leaves.select("conv", F.col("id").alias("leaf"), (F.col("score") / F.col("n")).alias("branch_score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "leaf")))
     chosen = written(ranked if best is None else ranked.where(F.col("rank") <= best), "branches")
