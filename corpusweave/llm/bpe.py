@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import flat, tokens
+from corpusweave.llm.store import bounded_batches
 
 #: Texts of one merge pass; a worker's arrays take about 40 times as much.
 BLOCK_BYTES = 4 << 20
@@ -293,6 +294,7 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_tokens and ids (little-endian unsigned 32-bit values)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_encode(path or tokens.default_path(), block_bytes), "doc_id long, n_tokens long, ids binary")
 

@@ -45,6 +45,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts with at most `most` bytes of text each, or one longer text."""
+    for batch in batches:
+        _, at = text_buffer(batch.column("text"))
+        for i, j in blocks(at, most):
+            yield batch.slice(i, j - i)
+
+
 def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most `most` bytes each, or of one longer text."""
     i, n = 0, len(offsets) - 1
@@ -69,8 +77,9 @@ _POWERS = _INVERSES = np.ones(0, U64)
 
 
 def release_powers() -> None:
-    """Forget powers that an unusually long text made."""
+    """Forget powers that an unusually long text made, and give back memory that Arrow keeps."""
     global _POWERS, _INVERSES
+    pa.default_memory_pool().release_unused()
     if len(_POWERS) > 4 * BLOCK_BYTES:
         _POWERS = _INVERSES = np.ones(0, U64)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import flat
 from corpusweave.llm.components import components
-from corpusweave.llm.store import written
+from corpusweave.llm.store import bounded_batches, written
 
 SIZE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.9995
@@ -274,6 +274,7 @@ def jaccard_join(
     links reaches) and n_links (other documents whose Jaccard similarity is at least `threshold`,
     copies included)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     matched = matched_depth(threshold, trees, depth, recall)
     sketch = written(docs.mapInArrow(_sketch(size, trees * depth), "doc_id long, key binary, sig binary, low binary"), "sketch")

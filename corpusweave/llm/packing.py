@@ -1,7 +1,7 @@
 """Best-fit decreasing packing of token sequences into windows of a fixed length.
 
 A document's ids (with an end id) are first cut into full windows, each a sequence of its own. The
-remainders are dealt out to shards of about `shard_docs` documents by a hash, and each shard packs
+remainders are dealt out to shards of about `shard_docs` documents (20,000; 4,000 with ids) by a hash, and each shard packs
 its remainders, longest first: a segment tree indexed by remaining capacity finds the tightest open
 window that still has room, else a new one opens. Nothing is dropped and every id lies in exactly
 one piece.
@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import tokens
+from corpusweave.llm.store import bounded_batches
 
 WINDOW = 1024
 END_ID = 0
-SHARD_DOCS = 20_000
+#: A shard is one task's table: smaller where it holds the ids too.
+SHARD_DOCS, SHARD_DOCS_WITH_IDS = 20_000, 4_000
+NO_ID = -(1 << 63)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -91,8 +94,8 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
         encode = tokens.library_encoding(path).encode_to_numpy
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 rows: list[tuple] = []
                 blobs: list[bytes] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -111,20 +114,23 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
 
 def _place(window: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        place, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
+        length, doc, start, crc = (table.column(c).combine_chunks().fill_null(NO_ID).to_numpy() for c in ("length", "doc_id", "start", "ids_crc32"))
+        order = np.lexsort((crc, start, doc, -length))  # ids stay where they are
+        place, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        place[order], offset[order] = best_fit_decreasing(length[order], window)
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(place + (shard << 32))).append_column("offset", pa.array(offset))
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int | None = None, keep_ids: bool = False) -> DataFrame:
     """The pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id
     and offset; with keep_ids also ids, the piece's ids as little-endian unsigned 32-bit values."""
     path = path or tokens.default_path()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = -(-max(1, docs.count()) // shard_docs)
+    shards = -(-max(1, docs.count()) // (shard_docs or (SHARD_DOCS_WITH_IDS if keep_ids else SHARD_DOCS)))
     kind = PIECES + ", ids binary" * keep_ids
     pieces = docs.mapInArrow(_pieces(path, window, end_id, keep_ids), kind)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))

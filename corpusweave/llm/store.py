@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
@@ -17,15 +19,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(spark, "")).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: one computation, a short
     lineage, and files that outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most BATCH_ROWS rows for the rest of the session: a
+    batch lies in the executor's and in the worker's memory at once, for every running task."""
+    now = int(spark.conf.get(BATCHES))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 def buckets(spark: SparkSession, least: int = 8) -> int:
     """Buckets for data that is dealt out by a hash: they follow spark.sql.shuffle.partitions,
     which a cluster sizes with its data."""

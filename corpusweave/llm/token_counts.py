@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm import tokens
-from corpusweave.llm.store import shared_dir
+from corpusweave.llm.store import bounded_batches, table_path
 
 BLOCK_TOKENS = 1 << 16
 BLOCKS = "file string, block long, width int, data binary, doc_ids array<long>"
@@ -72,13 +72,12 @@ def write_token_blocks(docs: DataFrame, path: str | None = None, block_tokens: i
     """Write docs(doc_id, text) as flat token files into the shared folder: one file for each
     partition, as a table of its blocks. doc_ids lists the documents that end in a block, in order;
     the scan uses it only to name what it finds."""
-    import uuid
-
     path = path or tokens.default_path()
     spark = docs.sparkSession
+    bounded_batches(spark)
     width = 2 if tokens.vocabulary(path).size <= 1 << 16 else 4
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_flatten(path, block_tokens, width), BLOCKS)
-    to = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    to = table_path(spark, name)
     flat.write.option("compression", "zstd").parquet(to)
     return spark.read.schema(BLOCKS).parquet(to)
 

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.store import bounded_batches
+
 PREFIXES = (6, 5, 4)
 TRAIN_ROWS = 200_000
 MAX_UNITS = 200_000
@@ -103,7 +105,8 @@ def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a row's label must not be read; a row without an id has none."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def _units(text: Column) -> Column:
@@ -136,6 +139,7 @@ def _lexicon(rows: list, toxic: str, clean: str, n_toxic: int, n_clean: int, pri
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, max_units: int = MAX_UNITS, prior: float = PRIOR, z: float = Z) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic)."""
+    bounded_batches(docs.sparkSession)
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, train_rows / max(1, labels.count()))
     labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -213,7 +217,7 @@ def _evidence_rows(whole: Model, partial: Model):
                 words = (text or "").lower().split()
                 hits = whole.hits(words)
                 found = segments(partial.hits(words), partial.other) if third_row else []
-                out.append((len(words), len(hits), [{"at": a, "score": s} for a, _, s in found][:50], sum(s for _, s in hits)))
+                out.append((len(words), len(hits), [{"at": a, "score": s} for a, _, s in found], sum(s for _, s in hits)))
             n, h, p, w = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("third"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(p, kind), pa.array(w, pa.float64())], names=["toxic", "third", "n", "hits", "part_hits", "weight"])
 
