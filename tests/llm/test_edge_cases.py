@@ -140,3 +140,15 @@ def test_vocabulary_is_the_library_s():
     # A merge's parts are older than itself, which the encoder relies on.
     made = {int(m): k for k, m in enumerate(v.merges[:, 2])}
     assert all(made.get(int(part), -1) < k for k, m in enumerate(v.merges) for part in m[:2])
+
+
+def test_clear_removes_the_tables(spark):
+    from pathlib import Path
+
+    from corpusweave.llm import store
+
+    path = Path(store.table_path(spark, "x").removeprefix("file:")).parent
+    store.written(spark.range(3).toDF("n"), "x")
+    assert any(path.iterdir())
+    store.clear(spark)
+    assert not path.exists()
