@@ -158,6 +158,39 @@ def multiset_overlap_with_benchmark(spark: SparkSession, sf_dir: str) -> DataFra
     return o.where(F.col("k") >= 0.5 * least).select("doc_id", "item_id", (F.col("k") / (F.col("dn") + F.col("bn") - F.col("k"))).alias("jaccard"), (F.col("k") / least).alias("containment"))
 
 
+#: Parts that the documents of one word are dealt out to when the benchmark is too large to broadcast.
+SALTS = 16
+
+
+def multiset_overlap(d: DataFrame, b: DataFrame, cut: float = 0.5, least: int = 2) -> DataFrame:
+    """Multiset Jaccard and containment of the words of at least `least` characters, for the pairs
+    of d(doc_id, text) and b(item_id, text) whose containment reaches `cut`. Rows of one key are one
+    text. After the first exchange a document stays in its partition, so neither its words nor its
+    pairs are shuffled again unless b must be joined by sorting."""
+
+    def whole(df: DataFrame, key: str, size: str) -> DataFrame:
+        found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.char_length(t) >= least)
+        return df.select(key, found.alias("t")).groupBy(key).agg(F.flatten(F.collect_list("t")).alias("t")).select(key, F.size("t").cast("long").alias(size), F.explode("t").alias("w"))
+
+    x = whole(d, "doc_id", "dn").groupBy("doc_id", "dn", "w").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    y = whole(b, "item_id", "bn").groupBy("item_id", "bn", "w").agg(F.count("*").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    o = x.join(y, ["w", "salt"]).groupBy("doc_id", "dn", "item_id", "bn").agg(F.sum(F.least("n", "m")).alias("k"))
+    smaller = F.least("dn", "bn")
+    return o.where(F.col("k") >= cut * smaller).select("doc_id", "item_id", (F.col("k") / (F.col("dn") + F.col("bn") - F.col("k"))).alias("jaccard"), (F.col("k") / smaller).alias("containment"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM documents) GROUP BY 1, 2),
+b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM benchmark) GROUP BY 1, 2),
+dt AS (SELECT doc_id, sum(n) AS n FROM d GROUP BY 1), bt AS (SELECT item_id, sum(n) AS n FROM b GROUP BY 1),
+o AS (SELECT doc_id, item_id, sum(least(d.n, b.n)) AS k FROM d JOIN b USING (w) GROUP BY 1, 2)
+SELECT doc_id, item_id, k / (dt.n + bt.n - k)::DOUBLE AS jaccard, k / least(dt.n, bt.n)::DOUBLE AS containment
+FROM o JOIN dt USING (doc_id) JOIN bt USING (item_id) WHERE k >= 0.5 * least(dt.n, bt.n)
+""")
+def multiset_overlap_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_overlap(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("""
 WITH c AS (SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]')) AS ch FROM documents) GROUP BY 1, 2),
 p AS (SELECT lang, ch, n / sum(n) OVER (PARTITION BY lang) AS p FROM c),
