@@ -3,12 +3,12 @@
 Base kinds are found in every text by themselves: assignments to a secret's name, access
 identifiers, and long hexadecimal strings. Weak candidates are parts that say little alone: short
 values of a secret's name, values of an account's or key's identifier, and endpoints. They are
-reported only if complementary parts lie near. Parts are intervals of code points; an interval join
-puts every part into the scopes it touches (windows of `scope` code points that start every
-scope / 2), an aggregation by scope notes which classes are there, and a weak candidate joins the
-notes of its own scopes: a weak secret needs an identifier, a weak identifier a secret, an endpoint
-both. So the join grows with the parts and never with their pairs, and a text full of candidates is
-spread over its scopes.
+reported only if complementary parts lie near: a weak secret needs an identifier, a weak identifier
+a secret, an endpoint both, each with fewer than `scope` code points between the two parts, wherever
+in the text they stand. Parts are intervals of code points; each cell of `scope` code points notes
+where the first and the last code point of each class lie in it, and a weak candidate joins the
+notes of the cells that it reaches and tests the true distance. So the join grows with the parts
+and never with their pairs, and a text full of candidates is spread over its cells.
 
 The scan reads each text once and leaves a small table, which is written to the shared folder.
 Defined cases: null is empty; rows with equal doc_id are kept apart by a hash of the text, and
@@ -83,22 +83,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Of scan()'s weak candidates, those whose complementary parts lie in one of their scopes, as
-    doc_id, key and added (an array of spans)."""
-    half = scope // 2
+    """Of scan()'s weak candidates, those that have their complementary parts fewer than `scope`
+    code points away, as doc_id, key and added (an array of spans)."""
     # Without a strong or weak part besides, nothing can be linked.
     some = found.where(F.size("weak") > 0).where(F.size("weak") + F.size("assign") + F.size("access") + F.size("hex") > 1)
-    part = some.select("doc_id", "key", F.explode(F.concat("assign", "access", "hex", "weak")).alias("s"))
-    part = part.select("doc_id", "key", "s", F.explode(F.sequence(F.floor(F.col("s.start") / half) - 1, F.floor((F.col("s.end") - 1) / half))).alias("scope")).distinct()
-    kind = F.col("s.kind")
-    there = part.groupBy("doc_id", "key", "scope").agg(
-        F.bool_or(kind.isin(0, 2, 3)).alias("secret"),
-        F.bool_or(kind.isin(1, 4)).alias("ident"),
-    )
-    weak = part.where(kind >= 3)
-    both = weak.alias("w").join(there.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.key") == F.col("t.key")) & (F.col("w.scope") == F.col("t.scope")))
-    needs = F.when(F.col("w.s.kind") == 3, F.col("t.ident")).when(F.col("w.s.kind") == 4, F.col("t.secret")).otherwise(F.col("t.ident") & F.col("t.secret"))
-    return both.where(needs).groupBy("w.doc_id", "w.key").agg(F.sort_array(F.collect_set("w.s")).alias("added"))
+    start, end, kind, cell = F.col("s.start"), F.col("s.end"), F.col("s.kind"), F.col("cell")
+
+    def dealt(spans: Column, reach: int) -> DataFrame:
+        """One row for each cell within `reach` of a span."""
+        rows = some.select("doc_id", "key", F.explode(spans).alias("s"))
+        return rows.select("doc_id", "key", "s", F.explode(F.sequence(F.floor(F.greatest(start - reach, F.lit(0)) / scope), F.floor((end - 1 + reach) / scope))).alias("cell"))
+
+    # The first and last code point of a class in a cell decide, as what a candidate reaches covers
+    # each cell from its begin, to its end, or whole.
+    first, last = F.greatest(start, cell * scope), F.least(end, (cell + 1) * scope) - 1
+    classes = {"secret": kind.isin(0, 2, 3), "ident": kind.isin(1, 4)}
+    bounds = [f(F.when(held, at)).alias(f"{name}_{side}") for name, held in classes.items() for side, f, at in (("first", F.min, first), ("last", F.max, last))]
+    there = dealt(F.concat("assign", "access", "hex", "weak"), 0).groupBy("doc_id", "key", "cell").agg(*bounds)
+    weak = dealt(F.col("weak"), scope).where(kind >= 3).distinct()
+    both = weak.alias("w").join(there.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.key") == F.col("t.key")) & (F.col("w.cell") == F.col("t.cell")))
+    near = [F.coalesce(F.bool_or((F.col(f"t.{name}_first") < F.col("w.s.end") + scope) & (F.col(f"t.{name}_last") >= F.col("w.s.start") - scope)), F.lit(False)).alias(name) for name in classes]
+    seen = both.groupBy("w.doc_id", "w.key", "w.s").agg(*near)
+    needs = F.when(kind == 3, F.col("ident")).when(kind == 4, F.col("secret")).otherwise(F.col("ident") & F.col("secret"))
+    return seen.where(needs).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("s")).alias("added"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
