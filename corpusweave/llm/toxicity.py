@@ -61,7 +61,8 @@ class Model:
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
         """The places and scores of the words that the lexicon knows."""
         heads, out = self.heads, []
-        for k in [k for k, w in enumerate(words) if w[:4] in heads or not w[0].isalnum()]:
+        # Where punctuation is among the first four characters, the stripped word may begin otherwise.
+        for k in [k for k, w in enumerate(words) if w[:4] in heads or not w[:4].isalnum()]:
             w = words[k].strip(STRIPPED)
             s = self.words.get(w)
             if s is None:
