@@ -1,15 +1,18 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with banded MinHash and exact verification.
 
 Each text becomes the set of its runs of five words (words are separated by blanks, tabs and line
 ends; a text of one to four words has one shingle of all its words). Equal texts form one class,
-so copies cost one row. A forest of `trees` prefix tries orders the classes by `depth` MinHash
-values each. A search starts from the full depth and shortens the matched prefix while a pair at
-the threshold would still be missed too often; the prefix length at which the expected recall
-reaches `recall` is where candidates are taken. Classes that share that prefix in any trie are
-candidates; large prefix groups are dealt out as tiles of two blocks, so that no task holds a
-whole group and no pair is written. Candidates whose MinHash estimate is at most `slack` below the
-threshold join one candidate component, and in each component all pairs are verified exactly,
-again in tiles. Only link counts and spanning edges leave a tile.
+so copies cost one row. The candidates come from fixed banding: there are `trees` groups of `depth`
+MinHash values, and the first values of each group, as many as matched_depth() allows for a pair at
+the threshold to be found with probability `recall` (4 of 6 by default), are hashed to one bucket.
+No sorted tries are built: a forest's search that descends from the full depth until this recall is
+met ends at the same length for every class, as threshold and recall are fixed, and a shared longer
+prefix is a shared shorter one, so its candidates are those of the banding. The last values of a
+group enter no bucket, only the estimate below. Classes that share a bucket are candidates; large
+buckets are dealt out as tiles of two blocks, so that no task holds a whole group and no pair is
+written. Candidates whose MinHash estimate is at most `slack` below the threshold join one candidate
+component, and in each component all pairs are verified exactly, again in tiles. Only link counts
+and spanning edges leave a tile.
 
 Defined cases: null and empty texts, and texts without words, link to nothing and are their own
 class. Rows that share a doc_id count as one node of the graph. A null doc_id is treated as the
