@@ -118,6 +118,26 @@ def positional_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("k", "p").alias("paired"), F.col("k").isNotNull().alias("by_key"))
 
 
+@query("""
+WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM labels)
+SELECT l.doc_id, coalesce(k.doc_id, p.doc_id) AS paired, k.doc_id IS NOT NULL AS by_key FROM l LEFT JOIN r k ON k.doc_id = l.doc_id LEFT JOIN r p ON p.i = l.i
+""")
+def positional_label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the label of their key, else with the label at their position."""
+    left = rows.numbered(docs(spark, sf_dir).select("doc_id"), "i", "doc_id")
+    right = rows.numbered(table(spark, sf_dir, "labels").select("doc_id"), "i", "doc_id")
+    out = left.join(right.select("doc_id", F.col("doc_id").alias("k")), "doc_id", "left").join(right.select("i", F.col("doc_id").alias("p")), "i", "left")
+    return out.select("doc_id", F.coalesce("k", "p").alias("paired"), F.col("k").isNotNull().alias("by_key"))
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS found, coalesce('quality ' || l.quality, 'document ' || d.doc_id) AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their label, or with a name made from their key."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("q"))
+    d = docs(spark, sf_dir).select("doc_id").join(labels, F.col("k") == F.col("doc_id"), "left")
+    return d.select("doc_id", F.col("k").isNotNull().alias("found"), F.coalesce("q", F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("label"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunking.chunk_documents(docs(spark, sf_dir), target=1200, most=2000, least=300)
