@@ -1,0 +1,29 @@
+"""The similarity behind the diversity bonuses, by n-grams."""
+
+import re
+
+import pytest
+
+from corpusweave.plans.group_queries import ngram_pairs
+
+TEXTS = ["one two three four five", "five four three two one", "one two three four six", "a b", "", "abcd", "one two three four five", "É 가나 다라 마바 사 x", "가나 다라 마바 사"]
+
+
+def by_force(a, b):
+    def grams(items, n):
+        return {tuple(items[k : k + n]) for k in range(len(items) - n + 1)}
+
+    def alike(x, y):
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    words = [re.findall("[가-힣A-Za-z0-9]+", t.lower()) for t in (a, b)]
+    three = alike(grams(words[0], 3), grams(words[1], 3))
+    return 0.35 * alike(grams(list(a), 5), grams(list(b), 5)) + 0.30 * three + 0.35 * three
+
+
+def test_word_order_counts(spark):
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(TEXTS)], "conv_id long, turn long, text string")
+    got = {(r["turn"], r["other"]): r["similarity"] for r in ngram_pairs(df).collect()}
+    want = {(i, j): by_force(a, b) for i, a in enumerate(TEXTS) for j, b in enumerate(TEXTS) if i != j}
+    assert got == pytest.approx(want)
+    assert got[0, 6] == pytest.approx(1.0) and got[0, 1] < 0.2
