@@ -126,8 +126,32 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     return mix(out), at
 
 
-def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of each span, one after the other."""
+def _runs(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of spans of at most `most` values each, or of one longer span."""
+    return blocks(np.concatenate([[0], np.cumsum(lengths)]), most)
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each span, one after the other; the places are made for a
+    part of the spans at a time."""
+    out, at = np.empty(int(lengths.sum()), values.dtype), 0
+    for i, j in _runs(lengths):
+        n = int(lengths[i:j].sum())
+        out[at : at + n] = values[starts[i] : starts[i] + n] if j == i + 1 else values[_places(starts[i:j], lengths[i:j])]
+        at += n
+    return out
+
+
+def same(values: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether values[a : a + length] equals values[b : b + length], for spans that aren't empty."""
+    out = np.ones(len(lengths), bool)
+    for i, j in _runs(lengths):
+        n = lengths[i:j]
+        equal = values[_places(a[i:j], n)] == values[_places(b[i:j], n)]
+        out[i:j] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out

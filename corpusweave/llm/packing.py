@@ -1,10 +1,10 @@
 """Best-fit decreasing packing of token sequences into windows of a fixed length.
 
 A document's ids (with an end id) are first cut into full windows, each a sequence of its own. The
-remainders are dealt out to shards of about `shard_docs` documents (20,000; 4,000 with ids) by a hash, and each shard packs
-its remainders, longest first: a segment tree indexed by remaining capacity finds the tightest open
-window that still has room, else a new one opens. Nothing is dropped and every id lies in exactly
-one piece.
+remainders are dealt out to shards by a hash, as many as hold about `shard_bytes` of text each, and
+each shard packs its remainders, longest first: a segment tree indexed by remaining capacity finds
+the tightest open window that still has room, else a new one opens. Nothing is dropped and every id
+lies in exactly one piece.
 
 Defined cases: a null or empty text has only the end id; rows with equal doc_id are packed one by
 one; an empty table gives no rows. Other columns of the input are ignored.
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import tokens
-from corpusweave.llm.store import bounded_batches
+from corpusweave.llm.store import bounded_batches, text_bytes
 
 WINDOW = 1024
 END_ID = 0
-#: A shard is one task's table: smaller where it holds the ids too.
-SHARD_DOCS, SHARD_DOCS_WITH_IDS = 20_000, 4_000
+#: Text of a shard, which is one task's table. The ids of a text take about as many bytes.
+SHARD_BYTES = 16 << 20
+#: Values that a batch's rows get in turn, so that equal rows go to several shards.
+SALTS = 1 << 16
 NO_ID = -(1 << 63)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -91,7 +93,6 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.library_encoding(path).encode_to_numpy
         end = np.array([end_id], "<u4")
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -99,7 +100,7 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
                 rows: list[tuple] = []
                 blobs: list[bytes] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    ids = np.concatenate([encode(text.as_py() or "", allowed_special="all").astype("<u4", copy=False), end])
+                    ids = np.concatenate([tokens.encode(path, text.as_py() or ""), end])
                     data = ids.tobytes()
                     for start in range(0, len(ids), window):
                         part = data[4 * start : 4 * (start + window)]
@@ -107,7 +108,8 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
                         if keep_ids:
                             blobs.append(part)
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(blobs, pa.binary())] * keep_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+                cols.append(pa.array(np.arange(len(rows)) % SALTS))
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(blobs, pa.binary())] * keep_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"] + ["ids"] * keep_ids)
 
     return run
 
@@ -124,16 +126,16 @@ def _place(window: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, keep_ids: bool = False) -> DataFrame:
     """The pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id
     and offset; with keep_ids also ids, the piece's ids as little-endian unsigned 32-bit values."""
     path = path or tokens.default_path()
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = -(-max(1, docs.count()) // (shard_docs or (SHARD_DOCS_WITH_IDS if keep_ids else SHARD_DOCS)))
+    shards = max(1, -(-text_bytes(docs) // shard_bytes))
     kind = PIECES + ", ids binary" * keep_ids
-    pieces = docs.mapInArrow(_pieces(path, window, end_id, keep_ids), kind)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    pieces = docs.mapInArrow(_pieces(path, window, end_id, keep_ids), PIECES + ", salt long" + ", ids binary" * keep_ids)
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(shards))).drop("salt")
     return pieces.groupBy("shard").applyInArrow(_place(window), f"{kind}, sequence_id long, offset long")
 
 

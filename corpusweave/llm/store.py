@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Only a session whose executors are threads of the
+    driver may leave that unset, and uses its warehouse then."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there.")
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/corpusweave").rstrip("/")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -47,7 +47,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCHES, str(BATCH_ROWS))
 
 
-def buckets(spark: SparkSession, least: int = 8) -> int:
-    """Buckets for data that is dealt out by a hash: they follow spark.sql.shuffle.partitions,
-    which a cluster sizes with its data."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts, by which data is dealt out in parts of bounded size."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -56,3 +56,26 @@ def library_encoding(path: str):
 
     v = vocabulary(path)
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={k.decode(): i for k, i in v.special.items()})
+
+
+@lru_cache(maxsize=4)
+def tokenizer(path: str, added: bool = True):
+    """The tokenizers library's encoder, without truncation and padding; with `added` false, the
+    strings of added tokens are plain text."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec |= {"truncation": None, "padding": None} | ({} if added else {"added_tokens": []})
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+def encode(path: str, text: str, added: bool = True) -> np.ndarray:
+    """The ids that the tokenizers library gives a text. The compiled encoder makes them, unless a
+    run of white space is longer than its pattern's stack (about a million characters)."""
+    fast = library_encoding(path)
+    try:
+        ids = fast.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=())
+    except ValueError:
+        ids = np.array(tokenizer(path, added).encode(text, add_special_tokens=False).ids, "<u4")
+    return ids.astype("<u4", copy=False)
