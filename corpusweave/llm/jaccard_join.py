@@ -1,32 +1,37 @@
-"""N-gram Jaccard self-join with banded MinHash and exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest and exact verification.
 
 Each text becomes the set of its runs of five words (words are separated by blanks, tabs and line
 ends; a text of one to four words has one shingle of all its words). Equal texts form one class,
-so copies cost one row. The candidates come from fixed banding: there are `trees` groups of `depth`
-MinHash values, and the first values of each group, as many as matched_depth() allows for a pair at
-the threshold to be found with probability `recall` (4 of 6 by default), are hashed to one bucket.
-No sorted tries are built: a forest's search that descends from the full depth until this recall is
-met ends at the same length for every class, as threshold and recall are fixed, and a shared longer
-prefix is a shared shorter one, so its candidates are those of the banding. The last values of a
-group enter no bucket, only the estimate below. Classes that share a bucket are candidates; large
-buckets are dealt out as tiles of two blocks, so that no task holds a whole group and no pair is
-written. Candidates whose MinHash estimate is at most `slack` below the threshold join one candidate
-component, and in each component all pairs are verified exactly, again in tiles. Only link counts
-and spanning edges leave a tile.
+so copies cost one row. The forest has `trees` sorted prefix tries of `depth` MinHash values each.
+Every class is a query: in the first round it meets the classes that share a whole path of a trie,
+and in each later round, one value shorter, only the queries take part whose estimated recall is
+still below `recall`. A pair of similarity s shares d values in one of n tries with the probability
+p = 1 - (1 - s**d)**n; each found neighbour so stands for 1 / p neighbours, and besides them one
+pair at the threshold is assumed, so a query without neighbours goes on until such a pair would be
+found (4 of 6 values by default), and a text with many close copies stops at longer prefixes.
+
+A round's classes are dealt out by shared prefixes and sorted by them, so a run of equal prefixes is
+a subtree of a trie; large subtrees are dealt out as tiles of two blocks, so that no task holds a
+whole group and no pair is written. Candidates whose MinHash estimate is at most `slack` below the
+threshold join one candidate component, and in each component all pairs are verified exactly, again
+in tiles, which are bounded by rows and by shingles. Only link counts and spanning edges leave a
+tile.
 
 Defined cases: null and empty texts, and texts without words, link to nothing and are their own
-class. Rows that share a doc_id count as one node of the graph. A null doc_id is treated as the
-smallest long. Other columns of the input are ignored, whatever their names.
+class. Rows that share a doc_id count as one node of the graph. Rows without a doc_id are one node
+for each different text; the nodes' numbers lie below all ids from -2**62 on. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import flat
@@ -36,15 +41,21 @@ from corpusweave.llm.store import bounded_batches, written
 SIZE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.9995
 SLACK = 0.2
-BLOCK = 1024
+#: Rows, and shingles of the rows, of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Tasks that the classes of one prefix are dealt out to before their tiles are known.
+SALTS = 8
 NO_ID = -(1 << 63)
 
 
-def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold is found with probability `recall`."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def node_of(docs: DataFrame) -> Column:
+    """The number of a row's node."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.lit(21)), F.lit(1 << 62)))
+
+
+def found_share(similarity: np.ndarray | float, trees: int, depth: int) -> np.ndarray | float:
+    """The probability that a pair shares `depth` values in one of the tries."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, count: int, seed: int = 77) -> np.ndarray:
@@ -76,7 +87,7 @@ def _sketch(size: int, count: int):
                 shingles, by = flat.shingle_hashes(part, off, size)
                 sig = signatures(shingles, by, count)
                 keys = [hashlib.blake2b(part[off[k] : off[k + 1]], digest_size=16).digest() if by[k + 1] > by[k] else None for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["doc_id", "key", "sig", "low"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(keys, pa.binary()), pa.array(np.diff(by)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["doc_id", "key", "shingles", "sig", "low"])
             flat.release_powers()
 
     return run
@@ -98,15 +109,20 @@ def _prefixes(trees: int, depth: int, matched: int):
     return run
 
 
-def tiles(df: DataFrame, group: str, size: str, node: str, block: int) -> DataFrame:
-    """Deal the rows of every group out as tiles of two blocks: a group of at most `block` rows is
-    one tile; of a larger one, each row goes to one tile per block. Adds tile_i, tile_j and blk."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    df = df.withColumn("_n", n).withColumn("blk", F.pmod(F.xxhash64(node, F.lit(5)), F.col("_n")).cast("int"))
+def tiles(df: DataFrame, blocks: Column, node: str) -> DataFrame:
+    """Deal the rows of every group out as tiles of two of its blocks: a group of one block is one
+    tile; of a larger one, each row goes to one tile per block. Adds tile_i, tile_j and blk."""
+    df = df.withColumn("_n", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64(node, F.lit(5)), F.col("_n")).cast("int"))
     df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return df.withColumn("tile_i", F.least("blk", "_j")).withColumn("tile_j", F.greatest("blk", "_j")).drop("_n", "_j")
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, node: str) -> DataFrame:
+    """Each row with its group's one row; a group's rows are dealt out to several tasks by `node`."""
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64(node, F.lit(9)), F.lit(SALTS)).cast("int"))
+    return rows.join(groups.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_s"]).drop("_s")
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys, from batches sorted by these keys, with the n + 1
     bounds of the runs."""
@@ -161,39 +177,65 @@ class Forest:
         return True
 
 
-def _near(threshold: float):
-    """Spanning edges of the classes of a tile whose estimates reach the threshold."""
+def _near(threshold: float, slack: float, trees: int, depth: int):
+    """Of the queries of a tile and the other classes there: spanning edges of the pairs whose
+    estimates reach the threshold less the slack; and for each query the neighbours found and those
+    they stand for, each counted by its share of the tries in which it is met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_runs(batches, ["bucket", "tile_i", "tile_j"]):
-            rep, side, cross = t.column("rep").to_numpy(), t.column("blk").to_numpy(), t.column("tile_i").to_numpy() != t.column("tile_j").to_numpy()
+            rep, side, asks = (t.column(c).to_numpy() for c in ("rep", "blk", "asks"))
+            cross = t.column("tile_i").to_numpy() != t.column("tile_j").to_numpy()
             sig = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(rep), -1)
-            need, n = threshold * sig.shape[1], np.diff(at)
-            two = at[:-1][n == 2]
-            two = two[(side[two] != side[two + 1]) | ~cross[two]]
-            two = two[(sig[two] == sig[two + 1]).sum(1) >= need]
-            out = [np.stack([rep[two], rep[two + 1]], 1)]
-            for a, b in zip(at[:-1][n > 2].tolist(), at[1:][n > 2].tolist(), strict=True):
-                forest, edges, mine = Forest(b - a), [], sig[a:b]
-                first = side[a:b] == side[a:b].min()
-                for x in range(b - a - 1):
-                    if not cross[a]:
-                        there = np.arange(x + 1, b - a)
-                    elif first[x]:
-                        there = np.flatnonzero(~first)
-                    else:
-                        continue
-                    for y in there[(mine[there] == mine[x]).sum(1) >= need].tolist():
+            edges, found, stand = [], np.zeros(len(rep)), np.zeros(len(rep))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a < 2 or not asks[a:b].any():
+                    continue
+                forest, mine, ask, left = Forest(b - a), sig[a:b], asks[a:b], side[a:b]
+                place = np.arange(b - a)
+                for x in np.flatnonzero(ask).tolist():
+                    there = np.flatnonzero((~ask | (place > x)) & ((left != left[x]) if cross[a] else (place != x)))
+                    s = (mine[there] == mine[x]).mean(1)
+                    near = s >= threshold - slack
+                    for y in there[near].tolist():
                         if forest.join(x, y):
                             edges.append((a + x, a + y))
-                if edges:
-                    out.append(rep[np.array(edges)])
-            ab = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+                    s = np.clip((s[near] - 1 / 256) / (1 - 1 / 256), 0, 1)
+                    there, s = there[near][s >= threshold], s[s >= threshold]
+                    weight = 1 / (trees * s**depth)
+                    share = weight * found_share(s, trees, depth)
+                    for sums, each in ((found, share), (stand, weight)):
+                        sums[a + x] += each.sum()
+                        sums[a + there] += each
+            ab, who = np.array(edges, np.int64).reshape(-1, 2), np.flatnonzero((stand > 0) & asks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([rep[ab[:, 0]], rep[who]])), pa.array([*rep[ab[:, 1]].tolist(), *[None] * len(who)], pa.int64()), pa.array(np.concatenate([np.zeros(len(ab)), found[who]])), pa.array(np.concatenate([np.zeros(len(ab)), stand[who]]))],
+                names=["a", "b", "found", "stand"],
+            )
 
     return run
 
 
+def forest_edges(classes: DataFrame, threshold: float, trees: int, depth: int, recall: float, slack: float, block: int) -> list[DataFrame]:
+    """The candidate edges (a, b) of classes(rep, sig, low), one table for each round of the forest."""
+    spark, edges, done = classes.sparkSession, [], None
+    for matched in range(depth, 0, -1):
+        keys = classes.select("rep", "sig").mapInArrow(_prefixes(trees, depth, matched), "bucket long, rep long")
+        groups = keys.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+        rows = salted_join(keys, groups, "bucket", "rep").join(classes.select("rep", "low"), "rep")
+        rows = rows.withColumn("asks", F.lit(True)) if done is None else rows.join(done.withColumn("asks", F.lit(False)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+        rows = _dealt(spark, tiles(rows, F.ceil(F.col("members") / F.lit(block)), "rep"), "bucket", "tile_i", "tile_j")
+        met = written(rows.mapInArrow(_near(threshold, slack, trees, matched), "a long, b long, found double, stand double"), f"near{matched}")
+        edges.append(met.where("b IS NOT NULL").select("a", "b"))
+        least = found_share(threshold, trees, matched)
+        if least >= recall:  # of every query
+            break
+        ended = met.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("found").alias("found"), F.sum("stand").alias("stand"))
+        ended = ended.where((F.col("found") + F.lit(float(least))) / (F.col("stand") + F.lit(1.0)) >= recall).select("rep")
+        done = written(ended if done is None else done.unionByName(ended).distinct(), f"done{matched}")
+    return edges
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +250,7 @@ def _sets(size: int):
                         mine.append(i + k)
                         sets.append(np.unique(shingles[by[k] : by[k + 1]]).tobytes())
                 took = batch.take(pa.array(mine, pa.int64()))
-                yield pa.RecordBatch.from_arrays([took.column("rep"), took.column("copies"), took.column("root"), took.column("members"), pa.array(sets, pa.binary())], names=["rep", "copies", "root", "members", "shingles"])
+                yield pa.RecordBatch.from_arrays([took.column("rep"), took.column("copies"), took.column("root"), took.column("blocks"), pa.array(sets, pa.binary())], names=["rep", "copies", "root", "blocks", "shingles"])
             flat.release_powers()
 
     return run
@@ -270,45 +312,50 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(
+def joined_nodes(
     docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, slack: float = SLACK, block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, class_id (the smallest doc_id that a chain of
-    links reaches) and n_links (other documents whose Jaccard similarity is at least `threshold`,
-    copies included)."""
+    """jaccard_join() with the rows' nodes for doc_ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    matched = matched_depth(threshold, trees, depth, recall)
-    sketch = written(docs.mapInArrow(_sketch(size, trees * depth), "doc_id long, key binary, sig binary, low binary"), "sketch")
-    classes = written(sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
-
-    keys = classes.select("rep", "sig").mapInArrow(_prefixes(trees, depth, matched), "bucket long, rep long")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    found = tiles(keys.join(shared, "bucket"), "bucket", "members", "rep", block).join(classes.select("rep", "low"), "rep")
-    found = _dealt(spark, found, "bucket", "tile_i", "tile_j")
-    near = components(found.mapInArrow(_near(max(0.0, threshold - slack)), "a long, b long"), "near")
-
-    grouped = written(near.join(near.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("node", "rep"), "grouped")
-    texts = docs.join(grouped, docs.doc_id == grouped.rep).join(classes.select(F.col("rep").alias("class_rep"), "key", "copies"), F.col("class_rep") == F.col("rep"))
-    sets = texts.select("rep", "copies", "root", "members", "key", "text").mapInArrow(_sets(size), "rep long, copies long, root long, members long, shingles binary")
-    sets = _dealt(spark, tiles(sets, "root", "members", "rep", block), "root", "tile_i", "tile_j")
+    docs = docs.select(node_of(docs).alias("doc_id"), "text")
+    sketch = written(docs.mapInArrow(_sketch(size, trees * depth), "doc_id long, key binary, shingles long, sig binary, low binary"), "sketch")
+    classes = written(sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
+
+    edges = forest_edges(classes, threshold, trees, depth, recall, slack, block)
+    near = components(reduce(DataFrame.unionByName, edges), "near").withColumnRenamed("node", "rep")
+    near = written(near.join(classes.select("rep", "key", "copies", "shingles"), "rep"), "candidates")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("shingles") / F.lit(BLOCK_SHINGLES)))
+    grouped = salted_join(near, near.groupBy("root").agg(parts.alias("blocks")), "root", "rep")
+    texts = docs.join(grouped, docs["doc_id"] == grouped["rep"])
+    sets = texts.select("rep", "copies", "root", "blocks", "key", "text").mapInArrow(_sets(size), "rep long, copies long, root long, blocks long, shingles binary")
+    sets = _dealt(spark, tiles(sets, F.col("blocks"), "rep"), "root", "tile_i", "tile_j")
     checked = written(sets.mapInArrow(_verify(threshold), "a long, b long, links long"), "links")
     roots = components(checked.select("a", "b"), "linked")
     links = checked.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
 
     out = classes.select("key", "rep", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("key", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketch.select("doc_id", "key").join(out, "key", "left")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("key", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    alone = sketch.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = sketch.where("key IS NOT NULL").select("doc_id", "key").join(out, "key").drop("key").unionByName(alone)
+    return out.select("doc_id", "class_id", "n_links")
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, class_id (the smallest node that a chain of
+    links reaches, which is a doc_id wherever all have one) and n_links (other rows whose Jaccard
+    similarity is at least `threshold`, copies included). The options are those of joined_nodes():
+    shingle size, threshold, trees and their depth, recall, slack, and rows of a block."""
+    out = joined_nodes(docs, **options)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= NO_ID + (1 << 62), F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without those that a chain of links joins to a smaller doc_id;
-    of repeated rows (doc_id and text), one stays."""
-    classes = written(jaccard_join(docs, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), "class_id"), "kept")
+    """The rows of docs, all columns, without those that a chain of links joins to a smaller doc_id
+    (a row without an id counts as smaller); of repeated rows (doc_id and text), one stays."""
+    classes = written(joined_nodes(docs, **options).select(F.col("doc_id").alias("_doc"), "class_id"), "kept")
     stay = classes.where(F.col("_doc") == F.col("class_id")).select("_doc").distinct()
-    out = docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_doc"], "left_semi")
+    out = docs.join(stay, node_of(docs) == stay["_doc"], "left_semi")
     repeated = not classes.groupBy("_doc").count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
