@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.native import let
+from corpusweave.llm.native import cut, let, pieces, running
 from corpusweave.llm.store import written
 
 #: The base kinds' patterns and least lengths, in the order of ties.
@@ -42,14 +42,13 @@ def matches(text: Column, pattern: str, kind: int, hint: Column, keep=None, valu
     for rows where hint holds; keep(span, value) says which stay, value being the numbered group."""
 
     def spans(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        both = F.transform(F.sequence(F.lit(0), F.size(x["hits"]) - 1), lambda i: F.struct(F.char_length(F.get(x["gaps"], i)).alias("gap"), F.char_length(F.get(x["hits"], i)).alias("hit")))
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.char_length(F.get(x["gaps"], i))
-            end = begin + F.char_length(F.get(x["hits"], i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))).alias("out"))
+        def placed(sizes: Column) -> Column:
+            before = running(F.transform(sizes, lambda s: s["gap"] + s["hit"]), lambda a, b: a + b, F.lit(0))
+            return F.zip_with(before, sizes, lambda at, s: F.struct((at + s["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + s["gap"] + s["hit"]).alias("end")))
 
-        out = F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), start, step, lambda acc: acc["out"])
+        out = let(both, placed)
         return F.when(F.size(x["hits"]) > 0, out if keep is None else F.filter(out, lambda s, i: keep(s, F.get(x["values"], i)))).otherwise(F.array().cast(SPAN))
 
     p = F.lit(pattern)
@@ -126,13 +125,16 @@ def digest(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with every maximal run of overlapping spans replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")))
+    def of(x: Column) -> Column:
+        """The text before each span that starts behind all earlier ones, and what is left."""
+        parts, reach = x["parts"], x["reach"]
+        kept = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(parts, F.get(reach, i), s["start"]), F.lit(mark))).otherwise(""))
+        last = F.greatest(F.element_at(reach, -1), F.element_at(x["spans"], -1)["end"])
+        return F.concat(F.array_join(kept, ""), cut(parts, last, F.char_length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))).otherwise(text)
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+    return F.when(F.size(spans) > 0, let(F.struct(pieces(text).alias("parts"), spans.alias("spans"), reach.alias("reach")), of)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
