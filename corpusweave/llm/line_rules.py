@@ -20,11 +20,22 @@ from corpusweave.llm.native import GAP_CHARS, chars_of, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Portable regular expressions: they mean the same to Java and RE2.
-CLOSED = "[.!?…。！？][\"')\\]}”’»]*([\\x20\\x09-\\x0D]|$)|[:;\"')\\]}”’»][\\x20\\x09-\\x0D]*$"
-BOILERPLATE = (
-    "cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|licen[sc]ed under|released under|"
-    "general public license|lorem ipsum|copyright|subscribe to|sign up|log in"
+MARKS = ".!?…。！？।॥؟۔։።"
+CLOSED = f"[{MARKS}][\"')\\]}}”’»]*([\\x20\\x09-\\x0D]|$)|[:;\"')\\]}}”’»][\\x20\\x09-\\x0D]*$"
+#: Phrases of notices, forms and licences in lower case; a phrase begins and ends at a word's edge.
+PHRASES = (
+    # English
+    "cookie (policy|settings|notice|consent)|(use|uses|using|accept|accepts|our|these) cookies|enable javascript|javascript is (disabled|required)|all rights reserved|"
+    "terms of (use|service)|privacy policy|licen[sc]ed under|released under|general public license|lorem ipsum|copyright|subscribe to (our|the|this)|"
+    "sign up (for|to|now|here|today)|(log|sign) in (to|with|here|now)|(please|must|to) (log|sign) in",
+    # French
+    "tous droits réservés|politique de confidentialité|conditions (générales )?d['’]utilisation|(utilise|utilisons|acceptez) (des|les|nos) cookies|sous licence|abonnez-vous|connectez-vous",
+    # German
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|(verwendet|verwenden|nutzt|nutzen) cookies|lizenziert unter|unter der lizenz|jetzt (anmelden|registrieren|abonnieren)",
+    # Spanish
+    "todos los derechos reservados|política de (privacidad|cookies)|(condiciones|términos) de (uso|servicio)|(utiliza|utilizamos|usamos) cookies|bajo (la )?licencia|suscríbete|inicia sesión",
 )
+BOILERPLATE = f"(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(PHRASES)})([^\\p{{L}}\\p{{N}}_]|$)"
 SEPARATORS = "|»›•·"
 MOST_LOST = 0.5
 
