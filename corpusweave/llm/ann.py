@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cosine, with a robust-pruned directed graph for each shard.
 
 Equal vectors become one node, of which only the k + 1 smallest ids can ever be wanted. Nodes are
-dealt out to shards of about `shard_rows` by a hash of the vector. In a shard, nodes enter the graph
+dealt out to shards by a hash of the vector; a shard has about `shard_rows` of them, or four times
+the square root of their number where that is more, so that queries, which search every shard, meet
+no more shards than that root. In a shard, nodes enter the graph
 in batches: a greedy beam search from the medoid proposes neighbours, and relaxed distance pruning
 keeps the nearest one, drops every candidate that is `alpha` times nearer to it than to the node,
 and goes on with the next, so that kept edges are diverse; reverse edges are pruned the same way.
@@ -15,6 +17,8 @@ never its neighbour. Fewer candidates than k give fewer rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -123,8 +127,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """The rows by powers of two so that squares neither overflow nor vanish; cosines stay."""
+    exponent = np.frexp(np.abs(v).max(1, keepdims=True))[1]
+    return np.ldexp(v, -exponent)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(1, keepdims=True)
+    v = _scaled(v)
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -149,10 +159,10 @@ def _search(k: int, beam: int, step: int = 128):
         if index.num_rows and queries.num_rows:
             dim = index.column("dim")[0].as_py()
             index = index.sort_by("node")
-            v, ids = _matrix(index.column("vector"), dim), index.column("ids").to_pylist()
+            v, ids = _scaled(_matrix(index.column("vector"), dim)), index.column("ids").to_pylist()
             out = np.frombuffer(b"".join(index.column("out").to_pylist()), np.int32).reshape(len(v), -1)
             graph = Graph(_unit(v), out, int(index.column("start").to_numpy().argmax()))
-            names, q = queries.column("query_id").to_numpy(), _matrix(queries.column("vector"), dim)
+            names, q = queries.column("query_id").to_numpy(), _scaled(_matrix(queries.column("vector"), dim))
             norms = np.sqrt((v * v).sum(1))
             for a in range(0, len(q), step):
                 found, _ = graph.search(_unit(q[a : a + step]), min(beam, max(k + 1, len(v))))
@@ -194,7 +204,8 @@ def nearest(
     smallest = Window.partitionBy("dim", "vector").orderBy("vec_id")
     nodes = whole.distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).groupBy("dim", "vector").agg(F.collect_list("vec_id").alias("ids"))
     nodes = written(nodes, "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    count = nodes.count()
+    shards = max(1, -(-count // max(shard_rows, 4 * math.isqrt(count))))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)))
     index = written(nodes.groupBy("dim", "shard").applyInArrow(_build(degree, beam, alpha), "dim int, shard long, vector binary, ids array<long>, node long, start boolean, out binary"), "graphs")
     queries = whole.where(is_query).distinct().withColumnRenamed("vec_id", "query_id")

@@ -67,9 +67,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, found in the flat token files that they are written to."""
-    blocks = token_counts.write_token_blocks(table(spark, sf_dir, "documents"))
+    blocks, names = token_counts.write_token_blocks(table(spark, sf_dir, "documents"))
     end_id = max(tokens.vocabulary(tokens.default_path()).special.values())
-    return token_counts.count_tokens(blocks, end_id).select("doc_id", "n_tokens")
+    return token_counts.count_tokens(blocks, end_id, names).select("doc_id", "n_tokens")
 
 
 @query()

@@ -4,8 +4,9 @@ Messages form trees by their parents. Iterative self-joins by pointer doubling f
 message, the root above it and what its path there scores (as many rounds as the depth has binary
 digits); branches, the root-to-leaf paths, are ranked by the mean score of their messages; and the
 messages of the chosen branches are enumerated by joining each leaf's growing path with the jump
-tables of the same rounds. Joins are by message, never by conversation, so a conversation with many
-messages is spread over tasks until its branches are written out, one row each.
+tables of the same rounds. Joins are by message, so a conversation with many messages is spread over
+tasks until its branches are written out, one row each; only chains() sorts a conversation's rows in
+one task, as they end as one branch and so as one row.
 
 The template marks a turn as `### role: text</turn>` and a line end. Inside texts and roles, a
 control string gets a backslash after its first part (`### ` becomes `###\\ `, `</turn>` becomes

@@ -24,7 +24,7 @@ ROWS = [
     (1, "another text that has the id of an earlier one", "en", "s", 46),
 ]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["key", "rep", "bucket", "data", "kind", "score", "a", "b", "root", "class_id", "shard", "ids", "length", "start", "file", "block", "words", "lines", "kept", "spans", "crc", "_n", "_doc", "_key", "label"]
+CLASH = ["key", "rep", "bucket", "data", "kind", "score", "a", "b", "root", "class_id", "shard", "ids", "length", "start", "file", "block", "words", "lines", "kept", "spans", "crc", "_n", "_doc", "_key", "_null", "a.b", "c0", "row", "salt", "label"]
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -38,12 +38,17 @@ def model(spark, df):
     return toxicity.fit(df, labels)
 
 
+def counted_tokens(df):
+    blocks, names = token_counts.write_token_blocks(df)
+    return token_counts.count_tokens(blocks, 50256, names)
+
+
 OPERATORS = {
     "jaccard": lambda s, d: jaccard_join(d),
     "packing": lambda s, d: packing.pack(d).select("doc_id", "doc_tokens").distinct(),
     "bpe": lambda s, d: bpe.decode(bpe.encode(d)),
     "toxicity": lambda s, d: toxicity.score(d, model(s, d)),
-    "tokens": lambda s, d: token_counts.count_tokens(token_counts.write_token_blocks(d), 50256),
+    "tokens": lambda s, d: counted_tokens(d),
     "lines": lambda s, d: line_rules.clean_lines(d),
     "repeats": lambda s, d: repeats.remove_repeats(d),
     "secrets": lambda s, d: secrets.find_secrets(d),
@@ -125,6 +130,14 @@ def test_vectors_edge_cases(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [3e-320, 3e-320]), (4, [-1e308, 1e308]), (50, [1e-200, 2e-200])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = {(0, 2): 1.0, (0, 1): 0.5**0.5, (0, 3): 0.5**0.5, (0, 50): 0.2**0.5, (0, 4): -(0.5**0.5), (50, 1): 0.9**0.5, (50, 3): 0.9**0.5, (50, 0): 0.2**0.5, (50, 2): 0.2**0.5, (50, 4): 0.1**0.5}
+    assert {(r["query_id"], r["vec_id"]) for r in got} == set(want)
+    assert all(abs(r["score"] - want[r["query_id"], r["vec_id"]]) < 1e-12 for r in got)
+
+
 def test_raw_token_files(spark, tmp_path):
     import numpy as np
 
@@ -134,6 +147,23 @@ def test_raw_token_files(spark, tmp_path):
     assert [(r["ordinal"], r["n_tokens"], r["terminated"]) for r in got] == [(0, 2, True), (1, 0, True), (2, 301, True), (3, 2, False)]
 
 
+@pytest.mark.parametrize("group", [2, 4096])
+def test_raw_token_files_in_ranges(spark, tmp_path, monkeypatch, group):
+    import numpy as np
+
+    monkeypatch.setattr(token_counts, "GROUP_BLOCKS", group)
+    rng = np.random.default_rng(3)
+    for name, n in (("a.bin", 5003), ("b.bin", 1), ("c.bin", 0), ("d.bin", 640)):
+        np.where(rng.random(n) < 0.01, 0, 9).astype("<u4").tofile(tmp_path / name)
+    got = token_counts.count_tokens(token_counts.read_token_files(spark, f"{tmp_path}/*.bin", 4, block_tokens=16, range_blocks=3), 0)
+    for name in ("a.bin", "b.bin", "c.bin", "d.bin"):
+        ids = np.fromfile(tmp_path / name, "<u4")
+        at = np.flatnonzero(ids == 0)
+        want = [int(x) for x in np.diff(at, prepend=-1) - 1] + [len(ids) - 1 - int(at[-1]) if len(at) else len(ids)]
+        rows = got.where(F.col("file").endswith(name)).orderBy("ordinal").collect()
+        assert [r["n_tokens"] for r in rows] == (want if want[-1] else want[:-1]) and [r["ordinal"] for r in rows] == list(range(len(rows)))
+
+
 def test_vocabulary_is_the_library_s():
     v = tokens.vocabulary(tokens.default_path())
     assert v.size == 50257 and v.tokens[50256] == b"<|endoftext|>" and v.tokens[v.byte_ids[65]] == b"A"
@@ -142,6 +172,25 @@ def test_vocabulary_is_the_library_s():
     assert all(made.get(int(part), -1) < k for k, m in enumerate(v.merges) for part in m[:2])
 
 
+def test_no_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from corpusweave.llm import store
+
+    conf = SimpleNamespace(get=lambda key, *default: default[0] if default else "file:/somewhere/warehouse")
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key: None), master="local[8]")
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    assert store.shared_dir(session) == "file:/somewhere/warehouse/corpusweave"
+    context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(session)
+
+
+def test_repeats_keep_helper_names(spark):
+    df = spark.createDataFrame([(1, "some text", "mine", 7)], "doc_id long, text string, _null string, `a.b` int")
+    assert repeats.without_repeats(df).first().asDict() == {"doc_id": 1, "text": "some text", "_null": "mine", "a.b": 7}
+
+
 def test_clear_removes_the_tables(spark):
     from pathlib import Path
 

@@ -61,3 +61,36 @@ def test_distances_against_brute_force(spark, scope):
         if mine:
             want[i] = sorted(mine)
     assert got == want and len(want) > 50
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    n = 100_000
+    part = "password=abcdefgh12 é "
+    df = spark.createDataFrame([(1, part * n + "tail"), (2, "x" * 9000 + part + "y" * 9000)], "doc_id long, text string")
+    warm = secrets.without_secrets(df.where("doc_id = 2")).first()
+    assert warm["text"] == "x" * 9000 + "<secret> é " + "y" * 9000
+    began = time.time()
+    got = secrets.scan(df).select("doc_id", "assign").where("doc_id = 1").first()["assign"]
+    assert [(s["start"], s["end"]) for s in (got[0], got[1], got[-1])] == [(0, 19), (22, 41), (22 * (n - 1), 22 * (n - 1) + 19)] and len(got) == n
+    assert time.time() - began < 20
+    assert secrets.without_secrets(df).where("doc_id = 1").first()["text"] == "<secret> é " * n + "tail"
+
+
+def test_redaction_of_overlapping_spans(spark):
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choices("abé😀\n", k=rng.randint(0, 9000)))
+        spans = sorted((a, 0, min(len(text), a + rng.randint(1, 300))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 40)))) if text else []
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, f"text string, spans {secrets.SPAN}")
+    for (text, spans), got in zip(rows, df.select(secrets.redact(F.col("text"), F.col("spans")).alias("r")).collect(), strict=True):
+        at, want = 0, ""
+        for a, _, b in spans:
+            if a >= at:
+                want += text[at:a] + "<secret>"
+            at = max(at, b)
+        assert got["r"] == want + text[at:]
