@@ -43,9 +43,10 @@ def _span(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(1e-9), b - a)
 
 
-def band_score(x: Column, q10: Column, q25: Column, q50: Column, q75: Column, q90: Column, iqr: Column) -> Column:
+def band_score(x: Column, q10: Column, q25: Column, q50: Column, q75: Column, q90: Column, iqr: Column, mean: Column | None = None) -> Column:
     """1 inside the quartiles, falling to 0 at the outer deciles and below 0 beyond them; with
-    missing quantiles, by the distance from the median."""
+    missing quantiles, by the distance from the median, for which the mean stands in."""
+    q50 = q50 if mean is None else F.coalesce(q50, mean)
     spread = F.when(iqr.isNull() | (iqr <= 1e-9), F.when(q50.isNull(), 1.0).otherwise(F.greatest(F.abs(q50) * 0.10, F.lit(1e-6)))).otherwise(iqr)
     return (
         F.when(x.isNull(), None)
@@ -58,8 +59,9 @@ def band_score(x: Column, q10: Column, q25: Column, q50: Column, q75: Column, q9
     )
 
 
-def banded_reward(x: Column, q10: Column, q25: Column, q50: Column, q75: Column, q90: Column, iqr: Column) -> Column:
+def banded_reward(x: Column, q10: Column, q25: Column, q50: Column, q75: Column, q90: Column, iqr: Column, mean: Column | None = None) -> Column:
     """Weak inside the quartiles, strong outside the outer deciles."""
+    q50 = q50 if mean is None else F.coalesce(q50, mean)
     middle = F.greatest(F.lit(1e-9), q75 - q25, F.abs(q50) * 0.05, F.lit(1e-6))
     whole = q10.isNotNull() & q25.isNotNull() & q50.isNotNull() & q75.isNotNull() & q90.isNotNull()
     return (

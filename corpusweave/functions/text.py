@@ -108,6 +108,99 @@ def clean_markup(text: Column) -> Column:
     return strip(text)
 
 
+#: Characters that end a sentence; marks before visible reasoning.
+SENTENCE_ENDS = ".!?。！？…"
+VISIBLE_REASONING = r"(?i)^(---\nthought\n|thought\n)"
+
+
+def clean_source(text: Column) -> Column:
+    """A short source without marks of order and width; line ends, blanks and blank lines unified."""
+    for pattern, to in (("[\ufeff\u200b\u200c\u200d\u2060]", ""), ("\r\n?", "\n"), ("[ \t]+", " "), ("\n{3,}", "\n\n")):
+        text = F.regexp_replace(text, pattern, to)
+    return strip(text)
+
+
+def paragraph_sentences(text: Column) -> Column:
+    """The sentences of a cleaned text: they end with a mark before white space or the paragraph's
+    end; the last one of each paragraph but the last carries the blank line."""
+    parts = F.filter(F.transform(F.split(clean_source(text), "\n{2,}"), lambda p: strip(p)), lambda p: p != "")
+    cut = F.transform(parts, lambda p: F.filter(F.transform(F.split(p, rf"(?U)(?<=[{SENTENCE_ENDS}])(?=\s)"), lambda s: strip(s)), lambda s: s != ""))
+    return let(cut, lambda c: F.flatten(F.transform(c, lambda p, i: F.transform(p, lambda s, k: F.when((k == F.size(p) - 1) & (i < F.size(c) - 1), F.concat(s, F.lit("\n\n"))).otherwise(s)))))
+
+
+def budget_trimmed(text: Column, most: int, least: int) -> Column:
+    """The leading sentences of a cleaned text whose tokens (here: characters, the stand-in codec)
+    fit into `most`; the first `most` tokens where that leaves fewer than `least`."""
+
+    def of(t: Column) -> Column:
+        sentences = paragraph_sentences(t)
+
+        def step(acc: Column, s: Column) -> Column:
+            more = clean_source(F.concat(acc["raw"], s))
+            fits = acc["open"] & (F.char_length(more) <= most)
+            return F.struct(F.when(fits, F.concat(acc["raw"], s)).otherwise(acc["raw"]).alias("raw"), F.when(fits, more).otherwise(acc["kept"]).alias("kept"), fits.alias("open"))
+
+        start = F.struct(F.lit("").alias("raw"), F.lit("").alias("kept"), F.lit(True).alias("open"))
+        kept = F.aggregate(sentences, start, step, lambda acc: acc["kept"])
+        return F.when(F.char_length(t) <= most, t).otherwise(let(kept, lambda k: F.when(F.char_length(k) >= least, k).otherwise(clean_source(F.substring(t, 1, most)))))
+
+    return let(clean_source(text), of)
+
+
+def reasoning(text: Column, opening: str, closing: str) -> Column:
+    """struct(present, closed, chars, text) of what stands between the reasoning tags; without the
+    closing one, or after a visible mark at the start, up to the result's tag or the end."""
+
+    def until_result(t: Column, start: Column) -> Column:
+        end = _locate_from(t, RESULT_OPEN, start)
+        return F.when(end > 0, F.substring(t, start, end - start)).otherwise(F.substring(t, start, F.char_length(t)))
+
+    def of(t: Column) -> Column:
+        at = F.instr(t, opening)
+        after = at + len(opening)
+        end = _locate_from(t, closing, after)
+        lead = F.char_length(t) - F.char_length(F.regexp_replace(t, r"(?U)^\s+", ""))
+        mark = F.regexp_extract(F.regexp_replace(t, r"(?U)^\s+", ""), VISIBLE_REASONING, 0)
+        tagged, shown = at > 0, mark != ""
+        body = F.when(tagged & (end > 0), F.substring(t, after, end - after)).when(tagged, until_result(t, after)).when(shown, until_result(t, lead + F.char_length(mark) + 1)).otherwise("")
+        return let(strip(body), lambda b: F.struct((tagged | shown).alias("present"), (tagged & (end > 0)).alias("closed"), F.char_length(b).alias("chars"), b.alias("text")))
+
+    return let(text, of)
+
+
+def foreign_counts(text: Column) -> Column:
+    """How many characters of each watched script a text has, as a struct."""
+    return F.struct(*[count_of(text, p).alias(name) for name, p in SCRIPTS.items()])
+
+
+def simile_share(sentences: Column) -> Column:
+    """The share of sentences with a simile's mark; 0 without sentences."""
+    return let(sentences, lambda s: F.size(F.filter(s, lambda x: F.rlike(x, F.lit("|".join(SIMILES))))) / F.greatest(F.size(s), F.lit(1)))
+
+
+def first_distinct(items: Column) -> Column:
+    """The items that aren't blank, each at its first place."""
+    return F.array_distinct(F.filter(items, lambda x: x != ""))
+
+
+def formatted(value: Column, digits: int = 4) -> Column:
+    """A number with fixed digits, or NA where it isn't finite."""
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "NA").otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def overrides(text: Column) -> Column:
+    """'name:factor,...' as a map; an item without a number fails."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: strip(x)), lambda x: x != "")
+
+    def pair(x: Column) -> Column:
+        number = F.substring_index(x, ":", -1).try_cast("double")
+        name = strip(F.substring(x, F.lit(1), F.char_length(x) - F.char_length(F.substring_index(x, ":", -1)) - 1))
+        good = F.contains(x, F.lit(":")) & number.isNotNull() & (name != "")
+        return F.when(good, F.struct(name.alias("name"), number.alias("factor"))).otherwise(F.raise_error(F.concat(F.lit("not name:factor: "), x)).cast("struct<name:string,factor:double>"))
+
+    return F.map_from_entries(F.transform(parts, pair))
+
+
 def tail_context(text: Column, most: int = 3200, within: int = 600) -> Column:
     """The last `most` characters, from after their first blank line if that is near."""
     tail = F.when(F.char_length(text) > most, F.substring(text, F.char_length(text) - most + 1, F.lit(most))).otherwise(text)
@@ -187,8 +280,9 @@ def repeated_ngram_rate(text: Column, n: int = 8) -> Column:
 
 def longest_run(text: Column, chars: str = r"[\s\S]") -> Column:
     """The longest run of one character of a class."""
-    found = F.regexp_extract_all(text, F.lit(f"({chars})\\1*+"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(found, lambda x: F.char_length(x))), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(f"({chars})\\1++"), F.lit(0))  # of two or more
+    one = F.rlike(text, F.lit(chars)).cast("int")
+    return F.coalesce(F.array_max(F.transform(found, lambda x: F.char_length(x))), one)
 
 
 def most_frequent(items: Column) -> Column:

@@ -81,3 +81,38 @@ def padded(values: Column, to: int, fill: int) -> Column:
     """The array filled up to a multiple of `to`."""
     n = F.pmod(-F.size(values), F.lit(to)).cast("int")
     return F.concat(values, F.array_repeat(F.lit(fill), n))
+
+
+def without_terminal(ids: Column, special: list[int]) -> Column:
+    """The ids without the special ones at their end."""
+    own = F.filter(F.transform(ids, lambda v, i: F.when(~v.isin(special), i + 1)), lambda i: i.isNotNull())
+    return F.slice(ids, 1, F.coalesce(F.array_max(own), F.lit(0)))
+
+
+def mask_checks(prompt: Column, answer: Column, most: int = 1 << 20) -> Column:
+    """struct of checks of loss_labels(): the prompt is masked, the answer isn't, both result tags are
+    seen, and nothing follows the closing one."""
+
+    def of(m: Column) -> Column:
+        n = F.char_length(prompt)
+        seen = F.array_join(F.transform(F.filter(m["labels"], lambda v: v != -100), lambda v: F.chr(v - 3)), "")
+        return F.struct(
+            F.forall(F.slice(m["labels"], 1, n), lambda v: v == -100).alias("prompt_masked"),
+            F.exists(F.slice(m["labels"], n + 1, most), lambda v: v != -100).alias("answer_seen"),
+            F.contains(seen, F.lit("<result>")).alias("open_seen"),
+            F.contains(seen, F.lit("</result>")).alias("close_seen"),
+            F.endswith(seen, F.lit("</result>")).alias("nothing_after"),
+        )
+
+    return let(loss_labels(prompt, answer, most), of)
+
+
+def checked_messages(messages: Column) -> Column:
+    """The messages, failing where a role is missing or a content isn't text."""
+    bad = F.exists(messages, lambda m: m["role"].isNull() | m["content"].isNull())
+    return F.when(bad, F.raise_error(F.lit("a message without role or content"))).otherwise(messages)
+
+
+def as_messages(text: Column) -> Column:
+    """A text as one user message."""
+    return F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))

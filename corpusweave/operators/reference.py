@@ -75,3 +75,126 @@ def bootstrap_closure(values: DataFrame, group: str, key: str, rounds: int = 300
     m = r.groupBy("metric", "round").agg(mean("ai").alias("a"), mean("human").alias("h"), mean("rewrite").alias("m"))
     q = F.percentile(gap_closure(F.col("a"), F.col("h"), F.col("m")), F.array(F.lit(0.025), F.lit(0.975)))
     return m.groupBy("metric").agg(q.alias("q")).select("metric", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
+
+
+def distribution_tests(values: DataFrame, by: list[str], group: str, pairs: list[tuple]) -> DataFrame:
+    """Of each pair of groups of values(by, group, value): sizes, means, their difference and Cliff's
+    delta, where both have two values at least."""
+    m = values.groupBy(*by, group).agg(F.count("value").alias("n"), F.avg("value").alias("m"))
+    out = None
+    for a, b in pairs:
+        delta = cliffs_delta(values.where(F.col(group).isin(a, b)), "value", F.col(group) == a, by).select(*by, "cliffs_delta")
+        side = lambda g, name: m.where(F.col(group) == g).select(*by, F.col("n").alias(f"{name}_n"), F.col("m").alias(f"{name}_mean"))
+        part = delta.join(side(a, "left"), by).join(side(b, "right"), by).where("left_n >= 2 AND right_n >= 2")
+        kind = values.schema[group].dataType
+        part = part.select(*by, F.lit(a).cast(kind).alias("left_group"), F.lit(b).cast(kind).alias("right_group"), "left_n", "right_n", "left_mean", "right_mean", (F.col("left_mean") - F.col("right_mean")).alias("mean_delta"), "cliffs_delta")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def audit_family(name: Column) -> Column:
+    """The families of an audit, which are others than those of scores."""
+    return (
+        F.when(name.isin("anti_slop", "translationese"), name)
+        .when(F.rlike(name, F.lit("^(comma|parenthes[ie]s)")), "punctuation")
+        .when(name.startswith("pos_") & F.rlike(name, F.lit("diversity|entropy")), "pos_diversity_entropy")
+        .when(name.startswith("pos_") & name.contains("repeat"), "pos_recurrence")
+        .when(name.startswith("pos_"), "pos")
+        .when(name.startswith("content_modifier"), "modifier_shape")
+        .when(name.startswith("content_"), "content_lexical")
+        .when(F.rlike(name, F.lit("^sentence_(initial|final)")), "sentence_edge")
+        .when(name.startswith("sentence_length"), "sentence_rhythm")
+        .otherwise("other")
+    )
+
+
+def signal_label(delta: Column, in_iqr: Column, in_deciles: Column) -> Column:
+    """How well a metric parts two groups, by its effect and the overlap; unknown without values."""
+    return (
+        F.when(delta.isNull() | in_iqr.isNull() | in_deciles.isNull(), "unknown")
+        .when((delta >= 0.75) & (in_iqr <= 0.20), "strong")
+        .when((delta >= 0.55) & (in_iqr <= 0.35), "useful")
+        .when((delta >= 0.35) & (in_deciles <= 0.75), "weak_but_usable")
+        .when(delta >= 0.25, "weak_or_redundant")
+        .otherwise("low_signal")
+    )
+
+
+def reference_audit(reference: DataFrame) -> DataFrame:
+    """A style reference with gap, direction, effective weight, family and signal, the heaviest
+    first."""
+    gap, size = F.col("human_mean") - F.col("ai_mean"), F.abs("cliffs_delta_human_vs_ai")
+    out = reference.withColumns({
+        "family": audit_family(F.col("metric")),
+        "human_minus_ai": gap,
+        "ai_direction": F.when(gap < 0, "ai_higher").otherwise("human_higher"),
+        "abs_cliffs_delta": size,
+        "effective_weight": separation_weight(F.col("weight"), F.col("ai_in_human_iqr_rate")),
+        "signal": signal_label(size, F.col("ai_in_human_iqr_rate"), F.col("ai_in_human_q10_q90_rate")),
+    })
+    return out.orderBy(F.desc_nulls_last("effective_weight"), F.desc_nulls_last("abs_cliffs_delta"), "metric")
+
+
+def usage_audit(usage: DataFrame, top: int = 8) -> DataFrame:
+    """Of usage(n, key, human_p, ai_p): the Jensen-Shannon distance and the number of keys by n, and
+    the `top` keys that each side uses more, with their gaps."""
+    h, a = F.coalesce("human_p", F.lit(0.0)), F.coalesce("ai_p", F.lit(0.0))
+    part = lambda x, y: F.when(x > 0, x * F.log2(x / (0.5 * (x + y)))).otherwise(0.0)
+    whole = usage.groupBy("n").agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(part(h, a) + part(a, h)))).alias("js_distance"), F.count_if(h > 0).alias("human_types"), F.count_if(a > 0).alias("ai_types"))
+
+    def high(gap: Column, name: str) -> DataFrame:
+        # The limit is applied before the shuffle, so a task sends `top` keys at most.
+        ranked = usage.withColumn("gap", gap).where("gap > 0").withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("gap"), F.desc("key")))).where(F.col("k") <= top)
+        return ranked.groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "key", "gap"))), lambda x: F.struct(x["key"].alias("key"), x["gap"].alias("gap"))).alias(name))
+
+    return whole.join(high(h - a, "human_high"), "n", "left").join(high(a - h, "ai_high"), "n", "left")
+
+
+def reward_audit(samples: DataFrame) -> DataFrame:
+    """Of samples(metric, value): count, mean, quartiles, extremes and the share below 0."""
+    some = samples.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
+    out = some.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg((F.col("value") < 0).cast("int")).alias("negative_rate"))
+    return out.select("metric", "n", "mean", F.get("_q", 0).alias("median"), F.get("_q", 1).alias("p25"), F.get("_q", 2).alias("p75"), "min", "max", "negative_rate")
+
+
+def sample_overview(rows: DataFrame) -> DataFrame:
+    """Of a reward log's rows (post_result_chars, text_truncated): how many there are, and with text
+    behind the result or a cut text, with their shares."""
+    post, cut = F.coalesce("post_result_chars", F.lit(0)) > 0, F.coalesce("text_truncated", F.lit(False))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(post).alias("post_result_rows"), F.avg(post.cast("int")).alias("post_result_rate"), F.count_if(cut).alias("text_truncated_rows"), F.avg(cut.cast("int")).alias("text_truncated_rate"))
+
+
+#: The numbers of a stored comparison.
+DIAGNOSTICS = ("latest", "ai_mean", "human_mean", "latest_minus_ai", "latest_minus_human", "latest_percentile_in_ai", "latest_percentile_in_human", "human_p25", "human_p50", "human_p75")
+
+
+def diagnostics(documents: DataFrame) -> DataFrame:
+    """The comparison of stored diagnostics, documents(comparison: array of JSON strings), by metric;
+    what isn't an object is left out, what isn't a number is null."""
+    kind = "metric string, " + ", ".join(f"{c} double" for c in DIAGNOSTICS)
+    rows = documents.select(F.explode("comparison").alias("x")).where(F.rlike(F.trim("x"), F.lit(r"(?s)^\{.*\}$"))).select(F.from_json("x", kind).alias("d"))
+    return rows.where("d IS NOT NULL").select("d.*")
+
+
+def token_length_stats(rows: DataFrame, by: str) -> DataFrame:
+    """Largest and mean token counts of rows(by, before, after), and how many rows were cut."""
+    return rows.groupBy(by).agg(F.max("before").alias("max_before"), F.avg("before").alias("mean_before"), F.max("after").alias("max_after"), F.avg("after").alias("mean_after"), F.count_if(F.col("after") < F.col("before")).alias("trimmed_rows"))
+
+
+def logprob_summary(rows: DataFrame, key: str, logprobs: str, prompt: Column) -> DataFrame:
+    """Sum, mean and number of the finite log-probabilities behind the prompt's."""
+    x = rows.select(key, F.explode(F.slice(logprobs, prompt + 1, F.greatest(F.size(logprobs) - prompt, F.lit(0)))).alias("x")).where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')")
+    return x.groupBy(key).agg(F.sum("x").alias("logprob_sum"), F.avg("x").alias("logprob_mean"), F.count("*").alias("logprob_count"))
+
+
+def probe_totals(rows: DataFrame, by: str) -> DataFrame:
+    """The sum and the largest size of the finite bonuses of each mode."""
+    some = rows.where(F.col("bonus").isNotNull() & ~F.isnan("bonus") & (F.abs("bonus") < float("inf")))
+    return some.groupBy(by).agg(F.sum("bonus").alias("total"), F.max(F.abs("bonus")).alias("largest"))
+
+
+def report_order(closure: str, delta: str) -> list[Column]:
+    """Improved metrics first, then by closure and size of the effect; what isn't a number is last."""
+    c = F.when(~F.isnan(closure), F.col(closure))
+    return [F.coalesce(c > 0, F.lit(False)).desc(), c.desc_nulls_last(), F.desc_nulls_last(delta)]

@@ -37,6 +37,11 @@ def modulo_join(left: DataFrame, right: DataFrame, left_order: str, right_order:
     return a.join(b, "_slot").drop("_i", "_slot")
 
 
+def hash_order(df: DataFrame, key: Column, seed: int) -> DataFrame:
+    """The rows in the order of a salted SHA-256 of their key, then the key."""
+    return df.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256), key)
+
+
 def hash_sample(df: DataFrame, key: Column, share: float, seed: int) -> DataFrame:
     """The rows with the lowest salted SHA-256, rounded half-even to a share of all."""
     k = round(df.count() * share)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text
-from corpusweave.operators import chat, chunking, rows
+from corpusweave.operators import chat, rows
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs
 from corpusweave.sources.tables import table
@@ -28,18 +28,6 @@ def split_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("lang").agg(F.sum("n").alias("n_rows"), F.count("*").alias("unique_texts"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("duplicate_rows"), F.max("n").alias("largest_group"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, text[:3000] AS h, text FROM documents)
-SELECT CASE WHEN lower(h) LIKE '%all rights reserved%' THEN 'rights' WHEN regexp_matches(h, '(?i)licen[sc]e') THEN 'license' WHEN len(list_filter(string_split(h, chr(10)), lambda x: regexp_matches(x, '[|%$#&*]{1}.*[|%$#&*]{1}'))) >= 1 THEN 'marks' ELSE 'ok' END AS reason,
-       count(*) AS n FROM d GROUP BY 1
-""")
-def artifact_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select(F.substring("text", 1, 3000).alias("h"))
-    marked = F.exists(F.split("h", "\n"), lambda x: F.rlike(x, F.lit("[|%$#&*]{1}.*[|%$#&*]{1}")))
-    reason = F.when(F.lower("h").contains("all rights reserved"), "rights").when(F.rlike("h", F.lit("(?i)licen[sc]e")), "license").when(marked, "marks").otherwise("ok")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 _PREFERENCE = """
 WITH p AS (SELECT a.conv_id, a.turn, a.text AS chosen, b.text AS rejected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 k AS (SELECT *, length(regexp_replace(chosen, '\\s', '', 'g')) AS c, length(regexp_replace(chosen, '[^a-z]', '', 'g')) / greatest(length(regexp_replace(chosen, '\\s', '', 'g')), 1) AS r, length(chosen) / greatest(length(rejected), 1) AS q, length(regexp_replace(chosen, '[^\\x00-\\x1f]', '', 'g')) / greatest(length(chosen), 1) AS b FROM p)
@@ -106,18 +94,6 @@ def modulo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.modulo_join(docs(spark, sf_dir).select("doc_id"), b, "doc_id", "item_id", b.count())
 
 
-@query("""
-WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id % 3 = 0)
-SELECT l.doc_id, coalesce(k.doc_id, p.doc_id) AS paired, k.doc_id IS NOT NULL AS by_key FROM l LEFT JOIN r k ON k.doc_id = l.doc_id LEFT JOIN r p ON p.i = l.i
-""")
-def positional_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id")
-    left = rows.numbered(d.where("doc_id % 2 = 0"), "i", "doc_id")
-    right = rows.numbered(d.where("doc_id % 3 = 0"), "i", "doc_id")
-    out = left.join(right.select("doc_id", F.col("doc_id").alias("k")), "doc_id", "left").join(right.select("i", F.col("doc_id").alias("p")), "i", "left")
-    return out.select("doc_id", F.coalesce("k", "p").alias("paired"), F.col("k").isNotNull().alias("by_key"))
-
-
 @query("""
 WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM labels)
 SELECT l.doc_id, coalesce(k.doc_id, p.doc_id) AS paired, k.doc_id IS NOT NULL AS by_key FROM l LEFT JOIN r k ON k.doc_id = l.doc_id LEFT JOIN r p ON p.i = l.i
@@ -138,12 +114,6 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("k").isNotNull().alias("found"), F.coalesce("q", F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("label"))
 
 
-@query()
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.chunk_documents(docs(spark, sf_dir), target=1200, most=2000, least=300)
-    return c.select("doc_id", "chunk_index", F.char_length("chunk").alias("chars"))
-
-
 @query("""
 WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')
 SELECT conv_id, turn, least(400, length(x) + length(y)) AS n_ids, least(400, length(x)) AS n_masked, (ceil(least(400, length(x) + length(y)) / 8.0) * 8)::INT AS n_padded FROM p

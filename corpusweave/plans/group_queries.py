@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusweave.functions import arrays, stats, text
+from corpusweave.functions import stats, text
 from corpusweave.operators import reference, rewards
-from corpusweave.plans.registry import SQL, query
+from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs, tokens
 from corpusweave.sources.tables import table
 
@@ -167,71 +167,6 @@ def update_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", w.alias("weight"), rewards.gate_decision(w).alias("decision"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the turns of each conversation, both directions: the mean Jaccard of words and
-    of five-character strings."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 4, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(5)))
-    t = t.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"), F.array_distinct(chars).alias("c"))
-    o = t.select("conv_id", F.col("turn").alias("other"), F.col("w").alias("w2"), F.col("c").alias("c2"))
-    both = t.join(o, "conv_id").where("turn <> other")
-    return both.select("conv_id", "turn", "other", (0.5 * arrays.set_jaccard(F.col("w"), F.col("w2")) + 0.5 * arrays.set_jaccard(F.col("c"), F.col("c2"))).alias("similarity"))
-
-
-_PAIRS = """
-WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5))) AS c FROM conversations),
-p AS (SELECT a.conv_id, a.turn, b.turn AS other, 0.5 * CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END
-   + 0.5 * len(list_intersect(a.c, b.c)) / (len(a.c) + len(b.c) - len(list_intersect(a.c, b.c))) AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn)"""
-
-
-@query(f"{_PAIRS}, m AS (SELECT conv_id, turn, avg(1 - similarity) AS d, avg(similarity) AS s FROM p GROUP BY 1, 2), r AS (SELECT *, 1 / (0.10 + s) AS q FROM m) SELECT conv_id, turn, 0.03 * greatest(-1, least(1, (d - avg(d) OVER g) / 0.55)) AS leave_one_out, 0.03 * least(1, d / 0.55) AS threshold, 0.03 * greatest(-1, least(1, q / (avg(q) OVER g) - 1)) AS density FROM r WINDOW g AS (PARTITION BY conv_id)")
-def diversity_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bonuses(_pairs(spark, sf_dir))
-
-
-def _bonuses(p: DataFrame) -> DataFrame:
-    out = rewards.diversity_bonus(p, "conv_id", "turn", "leave_one_out").withColumnRenamed("bonus", "leave_one_out")
-    for mode in ("threshold", "density"):
-        out = out.join(rewards.diversity_bonus(p, "conv_id", "turn", mode).withColumnRenamed("bonus", mode), ["conv_id", "turn"])
-    return out
-
-
-@query(f"{_PAIRS}, l AS (SELECT conv_id, turn, length(text) AS r FROM conversations), n AS (SELECT p.conv_id, p.turn, x.r, 1 - coalesce(max(similarity) FILTER (y.r >= x.r), max(similarity)) AS nov FROM p JOIN l x ON x.conv_id = p.conv_id AND x.turn = p.turn JOIN l y ON y.conv_id = p.conv_id AND y.turn = p.other GROUP BY 1, 2, 3) SELECT conv_id, turn, 0.03 * greatest(-1, least(1, CASE WHEN max(r) OVER g > min(r) OVER g THEN 0.25 + 0.75 * (r - min(r) OVER g) / (max(r) OVER g - min(r) OVER g) ELSE 0.5 END * (nov - avg(nov) OVER g) / 0.55)) AS bonus FROM n WINDOW g AS (PARTITION BY conv_id)")
-def mmr_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("double").alias("reward"))
-    return rewards.mmr_bonus(_pairs(spark, sf_dir), r, "conv_id", "turn")
-
-
-def ngram_pairs(t: DataFrame) -> DataFrame:
-    """Similarity of the turns of each conversation, both directions, as in the reference without a
-    tagger: Jaccard of five-character strings (0.35), of word trigrams (0.30) and of content-word
-    trigrams (0.35), which without tags are those of all words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[가-힣a-z0-9]+"), F.lit(0))
-    chars = F.when(F.char_length("text") >= 5, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 4, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(5)))).otherwise(F.array().cast("array<string>"))
-    t = t.select("conv_id", "turn", F.array_distinct(arrays.ngrams(words, 3)).alias("w"), F.array_distinct(chars).alias("c"))
-    o = t.select("conv_id", F.col("turn").alias("other"), F.col("w").alias("w2"), F.col("c").alias("c2"))
-    both = t.join(o, "conv_id").where("turn <> other")
-    return both.select("conv_id", "turn", "other", (0.35 * arrays.set_jaccard(F.col("c"), F.col("c2")) + 0.65 * arrays.set_jaccard(F.col("w"), F.col("w2"))).alias("similarity"))
-
-
-_NGRAM_PAIRS = """
-WITH x AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[가-힣a-z0-9]+') AS v FROM conversations),
-t AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(v) - 1), lambda i: v[i] || chr(1) || v[i + 1] || chr(1) || v[i + 2])) AS w, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5))) AS c FROM x),
-p AS (SELECT a.conv_id, a.turn, b.turn AS other, 0.35 * CASE WHEN len(a.c) + len(b.c) = 0 THEN 1 ELSE len(list_intersect(a.c, b.c)) / (len(a.c) + len(b.c) - len(list_intersect(a.c, b.c))) END
-   + 0.65 * CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn)"""
-
-
-@query(SQL["diversity_bonuses"].replace(_PAIRS, _NGRAM_PAIRS))
-def ngram_diversity_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bonuses(ngram_pairs(table(spark, sf_dir, "conversations")))
-
-
-@query(SQL["mmr_bonus"].replace(_PAIRS, _NGRAM_PAIRS))
-def ngram_mmr_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations")
-    return rewards.mmr_bonus(ngram_pairs(t), t.select("conv_id", "turn", F.char_length("text").cast("double").alias("reward")), "conv_id", "turn")
-
-
 _LEXICON = """
 WITH t AS (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS term, quality FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT term, count(*) FILTER (quality = 1) AS h, count(*) FILTER (quality = 0) AS a FROM t GROUP BY 1), s AS (SELECT sum(h) AS sh, sum(a) AS sa FROM c),
@@ -244,14 +179,6 @@ def lexicon_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.top_terms(reference.lexicon(t, F.col("quality") == 1, least=5), None, 100, 4.0)
 
 
-@query(f"{_LEXICON}, d AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS term FROM documents), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1) SELECT doc_id, sum(1000.0 * ln(lift)) / any_value(n.n) AS density FROM d JOIN l USING (term) JOIN n USING (doc_id) WHERE lift >= 4 GROUP BY doc_id")
-def lexicon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(docs(spark, sf_dir), 2)
-    labelled = t.join(table(spark, sf_dir, "labels"), "doc_id").select("quality", F.explode("t").alias("term"))
-    terms = reference.lexicon(labelled, F.col("quality") == 1, least=5).where("lift >= 4").select("term", "weight")
-    return t.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(terms, "term").groupBy("doc_id").agg((F.sum(F.lit(1000.0) * F.col("weight")) / F.first("n")).alias("density"))
-
-
 @query("""
 WITH p AS (SELECT o_custkey, o_totalprice, o_orderpriority FROM orders), m AS (SELECT avg(o_totalprice) AS m FROM p WHERE o_orderpriority = '1-URGENT'),
 b AS (SELECT o_custkey, avg(o_totalprice) AS v FROM p WHERE o_orderpriority = '5-LOW' GROUP BY 1), a AS (SELECT o_custkey, avg(o_totalprice) AS v FROM p WHERE o_orderpriority = '3-MEDIUM' GROUP BY 1)

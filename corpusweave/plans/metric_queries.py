@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import arrays, lexical, stats, text
-from corpusweave.operators import chat, reference, rewards, rewrite
+from corpusweave.operators import chat, reference, rewrite, scorer
 from corpusweave.plans.group_queries import _VALUES, values
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs, tokens
@@ -16,37 +16,21 @@ _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(regexp
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, greatest(length(trim(text)), 1) AS n, text, {_SENTENCES} AS s FROM documents),
-l AS (SELECT doc_id, n, text, s, list_transform(s, lambda x: length(x)) AS ls FROM s)
-SELECT doc_id, len(s) AS sentence_count, 1000.0 * (length(text) - length(replace(text, ',', ''))) / n AS comma_per_1k_chars, len(list_filter(s, lambda x: contains(x, ','))) / greatest(len(s), 1) AS comma_sentence_rate,
-       list_avg(ls) AS sentence_length_mean_chars, list_stddev_pop(ls) / greatest(1, list_avg(ls)) AS sentence_length_cv,
-       (list_aggregate(ls, 'quantile_cont', 0.75) - list_aggregate(ls, 'quantile_cont', 0.25)) / greatest(1, list_aggregate(ls, 'quantile_cont', 0.5)) AS sentence_length_iqr_ratio FROM l WHERE len(s) > 0
+WITH s AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, {_SENTENCES} AS s FROM documents),
+l AS (SELECT doc_id, t, greatest(length(t), 1) AS n, s, list_transform(s, lambda x: length(x)) AS ls, list_filter(list_transform(s, lambda x: list_filter(regexp_extract_all(lower(x), '[가-힣a-z0-9]+'), lambda w: length(w) >= 2)), lambda w: len(w) > 0) AS ws FROM s),
+e AS (SELECT doc_id, unnest(ws) AS w FROM l),
+a AS (SELECT doc_id, coalesce(sum(n) FILTER (n > 1), 0) / sum(n)::DOUBLE AS r FROM (SELECT doc_id, w[1] AS x, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT doc_id, coalesce(sum(n) FILTER (n > 1), 0) / sum(n)::DOUBLE AS r FROM (SELECT doc_id, w[-1] AS x, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT *, {" + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in text.SIMILES)} AS similes FROM l)
+SELECT m.doc_id, length(t) AS char_len, len(s) AS sentence_count, len(regexp_extract_all(t, '[가-힣]')) / greatest(1, len(regexp_extract_all(t, '[가-힣A-Za-z]'))) AS hangul_ratio, 1000.0 * len(regexp_extract_all(t, '[,，]')) / n AS comma_per_1k_chars,
+       len(list_filter(s, lambda x: regexp_matches(x, '[,，]'))) / greatest(len(s), 1) AS comma_sentence_rate, coalesce(list_avg(ls), 0) AS sentence_length_mean_chars, coalesce(list_stddev_pop(ls), 0) / greatest(1, coalesce(list_avg(ls), 0)) AS sentence_length_cv,
+       coalesce((list_aggregate(ls, 'quantile_cont', 0.75) - list_aggregate(ls, 'quantile_cont', 0.25)) / greatest(1, list_aggregate(ls, 'quantile_cont', 0.5)), 0) AS sentence_length_iqr_ratio, coalesce(a.r, 0) AS sentence_initial_token_repeat_rate, coalesce(b.r, 0) AS sentence_final_token_repeat_rate,
+       similes AS simile_marker_count, 1000.0 * similes / n AS simile_marker_per_1k_chars, len(list_filter(s, lambda x: regexp_matches(x, '{"|".join(text.SIMILES)}'))) / greatest(len(s), 1) AS simile_sentence_rate
+FROM m LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
 """)
 def basic_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir).select("doc_id", "text", text.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-    s = s.withColumn("ls", F.transform("s", lambda x: F.char_length(x).cast("double")))
-
-    def quantile(q: float):
-        def at(v):
-            p = (F.size(v) - 1) * F.lit(q)
-            low, high = F.get(v, F.floor(p).cast("int")), F.get(v, F.ceil(p).cast("int"))
-            return low + (high - low) * (p - F.floor(p))
-
-        return arrays.let(F.array_sort("ls"), at)
-
-    total = F.aggregate("ls", F.lit(0.0), lambda a, x: a + x)
-    s = s.withColumn("mean", total / F.size("s"))
-    std = F.sqrt(F.aggregate(F.transform("ls", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), lambda a, x: a + x) / F.size("s"))
-    n = F.greatest(F.char_length(text.strip(F.col("text"))), F.lit(1))
-    return s.select(
-        "doc_id",
-        F.size("s").cast("long").alias("sentence_count"),
-        (F.lit(1000.0) * text.commas(F.col("text")) / n).alias("comma_per_1k_chars"),
-        (F.size(F.filter("s", lambda x: F.contains(x, F.lit(",")))) / F.greatest(F.size("s"), F.lit(1))).alias("comma_sentence_rate"),
-        F.col("mean").alias("sentence_length_mean_chars"),
-        (std / F.greatest(F.lit(1.0), "mean")).alias("sentence_length_cv"),
-        ((quantile(0.75) - quantile(0.25)) / F.greatest(F.lit(1.0), quantile(0.5))).alias("sentence_length_iqr_ratio"),
-    )
+    s = docs(spark, sf_dir).select("doc_id", text.strip(F.col("text")).alias("t")).select("doc_id", "t", text.sentences(F.col("t")).alias("s"))
+    return s.select("doc_id", *[c.alias(k) for k, c in scorer.basic_metrics(F.col("t"), F.col("s")).items()])
 
 
 @query(f"""
@@ -63,18 +47,6 @@ def sentence_edge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", arrays.repeated_occurrence_rate(edge(1)).alias("initial_repeat_rate"), arrays.repeated_occurrence_rate(edge(-1)).alias("final_repeat_rate"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
-f AS (SELECT doc_id, unnest(list_concat(list_transform(t, lambda x: 'unigram|0|' || x),
-    list_transform(range(1, len(t)), lambda i: 'bigram|0|' || t[i] || chr(9) || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: 'skip_bigram|1|' || t[i] || chr(9) || t[i + 2]),
-    list_transform(range(1, len(t) - 2), lambda i: 'skip_bigram|2|' || t[i] || chr(9) || t[i + 3]), list_transform(range(1, len(t) - 3), lambda i: 'skip_bigram|3|' || t[i] || chr(9) || t[i + 4]))) AS f FROM t)
-SELECT split_part(f, '|', 1) AS kind, split_part(f, '|', 2)::INT AS skip, count(*) AS n, count(DISTINCT f) AS n_distinct FROM f GROUP BY 1, 2
-""")
-def skip_gram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tokens(docs(spark, sf_dir)).select(F.explode(lexical.skip_features(F.col("t"))).alias("f")).groupBy("f.kind", "f.skip", "f.key").agg(F.count("*").alias("c"))
-    return f.groupBy("kind", "skip").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
-
-
 @query()
 def mtld_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(docs(spark, sf_dir)).select("doc_id", lexical.mtld("t").alias("mtld"))
@@ -104,45 +76,12 @@ def rewrite_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.rewrite_metrics(turn_pairs(spark, sf_dir), "x", "y").select("conv_id", "turn", "length_ratio", "jaccard", "containment")
 
 
-@query()
-def edit_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = rewrite.rewrite_metrics(turn_pairs(spark, sf_dir), "x", "y")
-    return m.select("conv_id", "turn", "char_ratio", "edit_amount", rewrite.edit_score(F.col("edit_amount")).alias("edit_score"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) < 1000 THEN 0.20 * (1000 - length(text)) / 1000 WHEN length(text) > 4500 THEN 0.10 * least(1, (length(text) - 4500) / 4500) ELSE 0 END::DOUBLE AS penalty FROM documents")
-def length_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", rewards.length_penalty(F.char_length("text"), 1000, 4500).cast("double").alias("penalty"))
-
-
-@query("""
-SELECT doc_id, length(trim(substr(text, 1, 1600))) AS context_chars, length(trim(substr(text, 1601, 2600))) AS completion_chars FROM documents
-WHERE length(text) >= 2200 AND length(trim(substr(text, 1, 1600))) >= 400 AND length(trim(substr(text, 1601, 2600))) >= 500
-""")
-def continuation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).where(F.char_length("text") >= 2200)
-    d = d.select("doc_id", F.char_length(F.trim(F.substring("text", 1, 1600))).cast("long").alias("context_chars"), F.char_length(F.trim(F.substring("text", 1601, 2600))).cast("long").alias("completion_chars"))
-    return d.where("context_chars >= 400 AND completion_chars >= 500")
-
-
 @query("SELECT doc_id, length(text) > 3200 AS is_cut, length(right(text, 3200)) AS chars FROM documents")
 def tail_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # No document here has a blank line, at which a tail would start.
     return docs(spark, sf_dir).select("doc_id", (F.char_length("text") > 3200).alias("is_cut"), F.char_length(text.tail_context(F.col("text"))).cast("long").alias("chars"))
 
 
-@query(f"""
-WITH s AS (SELECT doc_id, s, k FROM (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents))),
-r AS (SELECT doc_id, k, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) AS used FROM s)
-SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS chars FROM r WHERE used <= 1536 GROUP BY doc_id
-""")
-def budget_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leading sentences whose characters (the stand-in tokens) fit the budget."""
-    s = docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "s"))
-    s = s.withColumn("used", F.sum(F.char_length("s")).over(Window.partitionBy("doc_id").orderBy("k"))).where("used <= 1536")
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.char_length("s")).alias("chars"))
-
-
 @query("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS k FROM conversations) WHERE k <= 5")
 def first_rows_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
@@ -167,17 +106,11 @@ def decorated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.aggregate("m", F.lit(0).cast("long"), lambda a, m: a + F.char_length(m["content"])).alias("chars"), F.size("m").cast("long").alias("n"))
 
 
-@query("SELECT o_orderkey, c_custkey IS NOT NULL AS found, coalesce(c_name, 'customer ' || o_custkey) AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey")
-def prompt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    o = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return o.select("o_orderkey", F.col("c_custkey").isNotNull().alias("found"), F.coalesce("c_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).alias("label"))
-
-
-@query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id % 2 = 0 AND s.text = d.text)")
+@query("SELECT DISTINCT text FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM (SELECT text FROM conversations WHERE role = 'user') u WHERE u.text = c.text)")
 def unseen_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", F.to_json(F.struct("text")).alias("p"))
-    return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("p"), "p", "left_anti").select("doc_id")
+    """Texts of turns that no user said."""
+    t = table(spark, sf_dir, "conversations").select("role", "text", F.to_json(F.struct("text")).alias("p"))
+    return t.join(t.where("role = 'user'").select("p").distinct(), "p", "left_anti").select("text").distinct()
 
 
 @query(f"""

@@ -137,27 +137,6 @@ def sliding_window_top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", arrays.coverage(F.col("w"), 5).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.avg("s").alias("top_5_share"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 6)) AS w FROM documents) GROUP BY 1, 2),
-b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 6)) AS w FROM benchmark) GROUP BY 1, 2),
-dt AS (SELECT doc_id, sum(n) AS n FROM d GROUP BY 1), bt AS (SELECT item_id, sum(n) AS n FROM b GROUP BY 1),
-o AS (SELECT doc_id, item_id, sum(least(d.n, b.n)) AS k FROM d JOIN b USING (w) GROUP BY 1, 2)
-SELECT doc_id, item_id, k / (dt.n + bt.n - k)::DOUBLE AS jaccard, k / least(dt.n, bt.n)::DOUBLE AS containment
-FROM o JOIN dt USING (doc_id) JOIN bt USING (item_id) WHERE k >= 0.5 * least(dt.n, bt.n)
-""")
-def multiset_overlap_with_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def tally(df: DataFrame, key: str) -> DataFrame:
-        t = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.char_length(x) >= 6)
-        return df.select(key, F.explode(t).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-
-    d, b = tally(docs(spark, sf_dir), "doc_id"), tally(table(spark, sf_dir, "benchmark"), "item_id")
-    dt, bt = d.groupBy("doc_id").agg(F.sum("n").alias("dn")), b.groupBy("item_id").agg(F.sum("n").alias("bn"))
-    o = d.join(b.withColumnRenamed("n", "m"), "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("k"))
-    o = o.join(dt, "doc_id").join(bt, "item_id")
-    least = F.least("dn", "bn")
-    return o.where(F.col("k") >= 0.5 * least).select("doc_id", "item_id", (F.col("k") / (F.col("dn") + F.col("bn") - F.col("k"))).alias("jaccard"), (F.col("k") / least).alias("containment"))
-
-
 #: Parts that the documents of one word are dealt out to when the benchmark is too large to broadcast.
 SALTS = 16
 

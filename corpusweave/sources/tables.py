@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that later steps read instead of computing it again. It is written to the folder
+    of spark.checkpoint.dir, which the driver and all executors share, or, where executors are
+    threads of the driver and that is unset, to the warehouse; it outlives any executor."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    path = f"{(top or spark.conf.get('spark.sql.warehouse.dir') + '/corpusweave').rstrip('/')}/settled-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
