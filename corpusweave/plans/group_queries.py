@@ -78,7 +78,7 @@ def style_reference_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("human_iqr", "weight", "cliffs_delta_human_vs_ai")
 
 
-@query(f"""
+_BANDS = f"""
 WITH {_REFERENCE}, s AS (SELECT doc_id, metric, value, q10, q25, q50, q75, q90, hm, am, greatest(1e-9, q25 - q10) AS li, greatest(1e-9, q90 - q75) AS ri, greatest(1e-9, q75 - q25, abs(q50) * 0.05, 1e-6) AS mid FROM v JOIN r USING (metric)),
 b AS (SELECT doc_id, metric, CASE
     WHEN value BETWEEN q25 AND q75 THEN greatest(0.08, least(0.22, 0.22 - 0.10 * abs(value - q50) / mid))
@@ -86,7 +86,11 @@ b AS (SELECT doc_id, metric, CASE
     WHEN value > q75 AND value <= q90 THEN greatest(-0.42, least(0, -0.42 * (value - q75) / ri))
     WHEN value < q10 THEN greatest(-1, least(-0.42, -0.42 - 0.58 * least(1, (q10 - value) / li)))
     ELSE greatest(-1, least(-0.42, -0.42 - 0.58 * least(1, (value - q90) / ri))) END::DOUBLE AS band,
-  CASE WHEN abs(hm - am) < 1e-9 THEN 0 ELSE greatest(-1, least(1, 2.0 * (value - am) / (hm - am) - 1.0)) END::DOUBLE AS away FROM s)
+  CASE WHEN abs(hm - am) < 1e-9 THEN 0 ELSE greatest(-1, least(1, 2.0 * (value - am) / (hm - am) - 1.0)) END::DOUBLE AS away FROM s)"""
+
+
+@query(f"""
+{_BANDS}
 SELECT metric, avg(band) AS mean_band, avg(away) AS mean_away, avg(greatest(-1, least(1, 0.90 * band + 0.10 * 0.25 * away))) AS mean_score FROM b GROUP BY metric
 """)
 def band_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,14 @@ def band_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("metric").agg(F.avg("band").alias("mean_band"), F.avg("away").alias("mean_away"), F.avg(stats.metric_score(F.col("band"), F.col("away"))).alias("mean_score"))
 
 
-@query()
+@query(f"""
+{_BANDS},
+i AS (SELECT metric, avg((value BETWEEN q25 AND q75)::INT) AS inside FROM v JOIN r USING (metric) WHERE quality = 0 GROUP BY 1),
+d AS (SELECT x.metric, abs(sum(sign(x.value - y.value)) / count(*)) AS delta FROM v x JOIN v y ON x.metric = y.metric AND x.quality = 1 AND y.quality = 0 GROUP BY 1),
+w AS (SELECT metric, delta * (0.35 + 0.65 * (1 - inside)) AS w, CASE metric WHEN 'comma_per_1k_chars' THEN 'comma' ELSE 'other' END AS family FROM i JOIN d USING (metric)),
+f AS (SELECT doc_id, family, sum(greatest(-1, least(1, 0.90 * band + 0.10 * 0.25 * away)) * w) / sum(w) AS f FROM b JOIN w USING (metric) GROUP BY 1, 2)
+SELECT doc_id, (sum(f * CASE family WHEN 'comma' THEN 0.22 ELSE 0.05 END) / sum(CASE family WHEN 'comma' THEN 0.22 ELSE 0.05 END))::DOUBLE AS score FROM f GROUP BY doc_id
+""")
 def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = values(spark, sf_dir)
     s = reference.scored(v, reference.style_reference(v, F.col("quality") == 1))

@@ -66,7 +66,11 @@ def collapse_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select(F.coalesce(text.collapse_reason(F.col("text")), F.lit("ok")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id, unnest(cs) AS ch, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents)),
+g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS g FROM c), r AS (SELECT doc_id, ch, count(*) AS n FROM g GROUP BY doc_id, ch, g)
+SELECT doc_id, coalesce(max(n), 0) AS any_run, coalesce(max(n) FILTER (regexp_matches(ch, '[A-Za-z]')), 0) AS letter_run, coalesce(max(n) FILTER (regexp_matches(ch, '[0-9]')), 0) AS digit_run FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id
+""")
 def longest_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return docs(spark, sf_dir).select("doc_id", text.longest_run(t).alias("any_run"), text.longest_run(t, "[A-Za-z]").alias("letter_run"), text.longest_run(t, "[0-9]").alias("digit_run"))
