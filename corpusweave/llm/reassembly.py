@@ -40,6 +40,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",  # stores of an ended start go, which take some MB of disk each
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
 
