@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, reassembly, reply_trees, secrets, token_counts, tokens, toxicity
+from corpusweave.llm import bpe, divergence, lm, reassembly, reply_trees, secrets, token_counts, tokens, toxicity
 from corpusweave.llm.ann import nearest
 from corpusweave.llm.jaccard_join import jaccard_join
 from corpusweave.llm.line_rules import BOILERPLATE, CLOSED, MOST_LOST, SEPARATORS, SYMBOLS, clean_lines
@@ -198,3 +198,13 @@ def op12_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reassembly.reassemble(reassembly.arrivals(table(spark, sf_dir, "conversations")), reassembly.BATCHES)
     what = F.when(F.col("event") == "close", F.array_join("unreleased", ",")).otherwise(F.col("payload"))
     return out.select("event", F.sha2(what.cast("binary"), 256).alias("sha256"), "conv_id", "turn", F.col("batch").cast("long").alias("batch"), "n_missing", "n_breaks")
+
+
+@query()
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
