@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.stats import away_score, banded_reward, cliffs_delta, gap_closure, metric_family, metric_score, separation_weight
+from corpusweave.sources.tables import settled
 
 
 def long_form(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -46,14 +47,18 @@ def closures(values: DataFrame, base: Column, target: Column, moved: Column) ->
     return m.withColumn("gap_closure", gap_closure(F.col("base_mean"), F.col("target_mean"), F.col("moved_mean")))
 
 
-def lexicon(tokens: DataFrame, human: Column, least: int = 2, eps: float = 0.5) -> DataFrame:
-    """Terms of tokens(term): counts by group and lift, the ratio of smoothed rates per 1,000 (ours
-    to define; the weight is its logarithm)."""
-    c = tokens.withColumn("_human", human).groupBy("term").agg(F.count_if("_human").alias("human_count"), F.count_if(~F.col("_human")).alias("ai_count"))
-    totals = c.agg(F.sum("human_count").alias("_h"), F.sum("ai_count").alias("_a"))
-    rate = lambda n, total: 1000.0 * (F.col(n) + eps) / F.greatest(F.col(total), F.lit(1))
-    out = c.where(F.col("human_count") + F.col("ai_count") >= least).crossJoin(F.broadcast(totals))  # totals is one row
-    return out.withColumn("lift", rate("ai_count", "_a") / rate("human_count", "_h")).withColumn("weight", F.ln("lift")).drop("_h", "_a")
+def lexicon(tokens: DataFrame, human: Column, least: int = 2, eps: float = 0.5, by: tuple[str, ...] = ("term",), n: str | None = None) -> DataFrame:
+    """Terms of tokens(*by), of which each row stands for n: counts by group and lift, the ratio of smoothed rates per 1,000 (ours
+    to define; the weight is its logarithm). The terms are counted and written once; the totals of both
+    groups, which include terms that are too rare, are observed on the way."""
+    times = F.col(n) if n else F.lit(1)
+    of = lambda held: F.coalesce(F.sum(F.when(held, times)), F.lit(0))
+    c = tokens.withColumn("_human", human).groupBy(*by).agg(of(F.col("_human")).alias("human_count"), of(~F.col("_human")).alias("ai_count"))
+    totals = Observation()
+    c = c.observe(totals, F.sum("human_count").alias("h"), F.sum("ai_count").alias("a"))
+    out = settled(c.where(F.col("human_count") + F.col("ai_count") >= least), "terms")
+    rate = lambda n, total: 1000.0 * (F.col(n) + eps) / max(totals.get[total] or 0, 1)
+    return out.withColumn("lift", rate("ai_count", "a") / rate("human_count", "h")).withColumn("weight", F.ln("lift"))
 
 
 def top_terms(terms: DataFrame, kind: str | None, k: int, least_lift: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import stats, tagging, text
-from corpusweave.operators import analysis, reference, rewards, rewrite, scorer
+from corpusweave.operators import analysis, lexicon, reference, rewards, rewrite, scorer
 from corpusweave.plans.metric_queries import turn_pairs
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs
@@ -126,13 +126,12 @@ def tag_usage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A reference, tag usage and a lexicon, made of the labelled documents by their quality."""
     rows = _labelled(spark, sf_dir)
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[가-힣a-z0-9]+"), F.lit(0))
-    terms = rows.select("quality", F.explode(words).alias("term"))
-    lexicon = reference.lexicon(terms, F.col("quality") == 1, least=5).where("lift >= 4").select(F.lit("unigram").alias("kind"), F.lit(0).alias("skip"), F.col("term").alias("key"), F.greatest(F.lit(0.05), "weight").alias("weight"))
-    lexicon = settled(lexicon, "lexicon")
-    m = scorer.measured(rows, ["doc_id", "quality"], "text", lexicon).drop("_tags")
+    terms = rows.select("quality", F.explode(lexicon.feature_tokens(F.col("text"))).alias("term"))
+    words = reference.lexicon(terms, F.col("quality") == 1, least=5).where("lift >= 4").select(F.lit("unigram").alias("kind"), F.lit(0).alias("skip"), F.col("term").alias("key"), F.greatest(F.lit(0.05), "weight").alias("weight"))
+    words = settled(words, "lexicon")
+    m = scorer.measured(rows, ["doc_id", "quality"], "text", words).drop("_tags")
     v = settled(reference.long_form(m, ["doc_id", "quality"], [c for c in m.columns if c not in ("doc_id", "quality")]), "values")
-    return settled(reference.style_reference(v, F.col("quality") == 1), "reference"), settled(usage(rows), "usage"), lexicon
+    return settled(reference.style_reference(v, F.col("quality") == 1), "reference"), settled(usage(rows), "usage"), words
 
 
 @query()
@@ -244,17 +243,10 @@ f AS (SELECT doc_id, unnest(list_concat(
 
 @query(f"WITH {_FEATURES} SELECT split_part(f, '|', 1) AS kind, split_part(f, '|', 2)::INT AS skip, count(*) AS n, count(DISTINCT f) AS n_distinct FROM f GROUP BY 1, 2")
 def skip_gram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).groupBy("f.kind", "f.skip", "f.key").agg(F.count("*").alias("c"))
+    f = lexicon.feature_counts(docs(spark, sf_dir), []).groupBy("kind", "skip", "key").agg(F.sum("n").alias("c"))
     return f.groupBy("kind", "skip").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusweave.functions import lexical
-
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[가-힣a-z0-9]+"), F.lit(0))
-    return docs(spark, sf_dir).select("doc_id", F.explode(lexical.skip_features(words)).alias("f"))
-
-
 @query(f"""
 WITH {_FEATURES}, c AS (SELECT f, count(*) FILTER (quality = 1) AS h, count(*) FILTER (quality = 0) AS a FROM f JOIN labels USING (doc_id) GROUP BY 1), s AS (SELECT sum(h) AS sh, sum(a) AS sa FROM c),
 l AS (SELECT f, greatest(0.05, ln(((a + 0.5) / sa) / ((h + 0.5) / sh))) AS w FROM c, s WHERE h + a >= 5 AND ((a + 0.5) / sa) / ((h + 0.5) / sh) >= 4), n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1)
@@ -262,12 +254,10 @@ SELECT doc_id, (sum(1000.0 * w) / any_value(n.n))::DOUBLE AS density FROM f JOIN
 """)
 def lexicon_feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all features of a text those of a lexicon over (kind, skip, key), weighted at least 0.05."""
-    key = F.concat_ws("|", "f.kind", F.col("f.skip").cast("string"), "f.key")
-    terms = _features(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("quality", key.alias("term"))
-    found = reference.lexicon(terms, F.col("quality") == 1, least=5).where("lift >= 4")
-    part = F.split("term", r"\|", 3)
-    lexicon = found.select(F.get(part, 0).alias("kind"), F.get(part, 1).cast("int").alias("skip"), F.get(part, 2).alias("key"), F.greatest(F.lit(0.05), "weight").alias("weight"))
-    return scorer.lexicon_density(docs(spark, sf_dir).select("doc_id", "text"), ["doc_id"], lexicon).select("doc_id", F.col("anti_slop_density").alias("density"))
+    terms = lexicon.feature_counts(_labelled(spark, sf_dir), ["quality"])
+    found = reference.lexicon(terms, F.col("quality") == 1, least=5, by=("kind", "skip", "key"), n="n").where("lift >= 4")
+    found = found.select("kind", "skip", "key", F.greatest(F.lit(0.05), "weight").alias("weight"))
+    return lexicon.density(docs(spark, sf_dir), ["doc_id"], found).select("doc_id", F.col("anti_slop_density").alias("density"))
 
 
 # Reports and audits.
