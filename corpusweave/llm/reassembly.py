@@ -2,10 +2,11 @@
 
 A stateful streaming query keeps each conversation under its key: one value for its progress, a map of
 the turns that wait for an earlier one, and a tombstone once it is closed. Batch numbers are the event
-time. Every arrival deletes the conversation's timer and registers it anew at last + idle batches; a
-row that carries only the clock moves the watermark in each batch, also an empty one, so that an expiry
-closes what has been silent. The query is started anew for every batch on one checkpoint, which holds
-all its state; a batch's files appear in its folder by one rename.
+time. Every arrival deletes the conversation's timer and registers it anew at last + idle batches. The
+watermark comes from the batch before, by a row that carries only the clock, also in an empty batch: in
+batch b it has just passed the number b. A batch's arrivals are handled first and are a little younger,
+so what expires then has been silent in b too, and is closed. The query is started anew for every batch
+on one checkpoint, which holds all its state; a batch's files appear in its folder by one rename.
 
 Of a turn, the earliest arrival is kept; the run of kept turns without a gap from the conversation's
 smallest turn is released as it grows, each turn once. What arrives after the close is rejected.
@@ -29,8 +30,7 @@ from corpusweave.llm.store import table_path
 BATCHES = 10
 #: Batches in a row without an arrival that close a conversation.
 IDLE = 2
-#: Milliseconds of event time from one batch to the next. The clock runs one millisecond ahead of the
-#: arrivals, as a timer expires only when the watermark has passed it.
+#: Milliseconds of event time from one batch to the next; a batch's arrivals stand halfway.
 TICK = 1000
 ARRIVAL = "conv_id long, turn long, role string, payload string, first long, batch int, at timestamp"
 EVENT = "event string, conv_id long, turn long, payload string, batch int, n_missing long, n_breaks long, unreleased array<long>"
@@ -41,13 +41,13 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",  # stores of an ended start go, which take some MB of disk each
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # the watermark of the next batch has to wait for its arrivals
 }
 
 
 def time_of(batch: int) -> int:
-    """The event time of a batch in milliseconds."""
-    return (batch + 1) * TICK
+    """The number of a batch as a time in milliseconds, which is when a timer for it expires."""
+    return batch * TICK
 
 
 class Reassembler(StatefulProcessor):
@@ -69,9 +69,6 @@ class Reassembler(StatefulProcessor):
         for row in rows:
             if row.turn is None:
                 continue  # the clock
-            if state and row.batch - state[6] > self.idle:  # silent for too long, and the expiry comes only after these rows
-                yield self._close(conv_id, state)
-                closed, state = True, None
             if closed:
                 yield Event("reject", conv_id, row.turn, row.payload, row.batch, None, None, None)
                 continue
@@ -134,11 +131,12 @@ class Reassembler(StatefulProcessor):
 
 def timed(rows: DataFrame, batches: int) -> DataFrame:
     """rows(conv_id, turn, role, payload, first, batch) with their event time, and the clock's row of
-    each batch; the last one is late enough to expire all that is open."""
+    each batch, which lets the watermark pass the number of the next one; after the last batch comes one
+    that only closes, so its watermark passes all numbers."""
+    next_ = F.col("batch") + F.when(F.col("batch") + 1 < batches, 1).otherwise(2 * batches + IDLE)
     clock = rows.sparkSession.range(batches + 1).select(F.col("id").cast("int").alias("batch"))
-    late = F.when(F.col("batch") == batches, F.lit(time_of(batches + max(batches, IDLE)) + 1)).otherwise((F.col("batch") + 1) * TICK + 1)
-    clock = clock.select("batch", F.timestamp_millis(late).alias("at"))
-    rows = rows.withColumn("batch", F.col("batch").cast("int")).withColumn("at", F.timestamp_millis((F.col("batch") + 1).cast("long") * TICK))
+    clock = clock.select("batch", F.timestamp_millis(next_.cast("long") * TICK + 1).alias("at"))
+    rows = rows.withColumn("batch", F.col("batch").cast("int")).withColumn("at", F.timestamp_millis(F.col("batch").cast("long") * TICK + TICK // 2))
     names = [c.split(" ")[0] for c in ARRIVAL.split(", ")]
     return rows.unionByName(clock, allowMissingColumns=True).select(*names)
 
