@@ -120,14 +120,6 @@ def gap_closure(base: Column, target: Column, moved: Column) -> Column:
     return F.when(gap <= 1e-12, None).otherwise((gap - F.abs(moved - target)) / F.nullif(gap, F.lit(0.0)))
 
 
-def summary(value: str) -> list[Column]:
-    """Count, mean, deviation, quantiles, least and largest of a column."""
-    x = F.col(value)
-    quantiles = F.percentile(x, F.array(*[F.lit(q) for q in (0.5, 0.1, 0.25, 0.75, 0.9)]))
-    names = ("median", "p10", "p25", "p75", "p90")
-    return [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), *(F.get(quantiles, k).alias(n) for k, n in enumerate(names)), F.min(x).alias("min"), F.max(x).alias("max")]
-
-
 def cliffs_delta(df: DataFrame, value: str, left: Column, by: list[str]) -> DataFrame:
     """Cliff's delta of rows where `left` holds against the others, by group: by ranks of distinct
     values, so neither pairs nor whole groups of rows meet in one task."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.stats import away_score, banded_reward, cliffs_delta, gap_closure, metric_family, metric_score, separation_weight
+from corpusweave.operators.quantiles import quantiles, summarized
 from corpusweave.sources.tables import settled
 
 
@@ -20,9 +21,9 @@ def style_reference(values: DataFrame, human: Column) -> DataFrame:
     of the others, their share within the first group's quartiles and deciles, Cliff's delta, and
     a weight (its size)."""
     v = values.withColumn("_human", human)
-    q = F.percentile(F.when(F.col("_human"), F.col("value")), F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    ref = v.groupBy("metric").agg(q.alias("_q"), F.avg(F.when(F.col("_human"), F.col("value"))).alias("human_mean"), F.avg(F.when(~F.col("_human"), F.col("value"))).alias("ai_mean"))
-    ref = ref.select("metric", *[F.get("_q", k).alias(f"human_{n}") for k, n in enumerate(("q10", "q25", "q50", "q75", "q90"))], "human_mean", "ai_mean")
+    q = quantiles(v.where("_human"), ["metric"], "value", (0.1, 0.25, 0.5, 0.75, 0.9)).select("metric", F.col("q").alias("_q"))
+    ref = v.groupBy("metric").agg(F.avg(F.when(F.col("_human"), F.col("value"))).alias("human_mean"), F.avg(F.when(~F.col("_human"), F.col("value"))).alias("ai_mean"))
+    ref = ref.join(q, "metric", "left").select("metric", *[F.get("_q", k).alias(f"human_{n}") for k, n in enumerate(("q10", "q25", "q50", "q75", "q90"))], "human_mean", "ai_mean")
     ref = ref.withColumn("human_iqr", F.col("human_q75") - F.col("human_q25"))
     bounds = F.broadcast(ref.select("metric", "human_q10", "human_q25", "human_q75", "human_q90"))  # one row per metric
     inside = v.where(~F.col("_human")).join(bounds, "metric").groupBy("metric").agg(
@@ -158,9 +159,9 @@ def usage_audit(usage: DataFrame, top: int = 8) -> DataFrame:
 def reward_audit(samples: DataFrame) -> DataFrame:
     """Of samples(metric, value): count, mean, quartiles, extremes and the share below 0."""
     some = samples.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    out = some.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg((F.col("value") < 0).cast("int")).alias("negative_rate"))
-    return out.select("metric", "n", "mean", F.get("_q", 0).alias("median"), F.get("_q", 1).alias("p25"), F.get("_q", 2).alias("p75"), "min", "max", "negative_rate")
+    negative = some.groupBy("metric").agg(F.avg((F.col("value") < 0).cast("int")).alias("negative_rate"))
+    out = summarized(some, ["metric"], "value").join(negative, "metric")
+    return out.select("metric", "n", "mean", "median", "p25", "p75", "min", "max", "negative_rate")
 
 
 def sample_overview(rows: DataFrame) -> DataFrame:

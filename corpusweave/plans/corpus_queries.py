@@ -68,7 +68,7 @@ SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (SELECT doc_id, l
 WHERE k <= CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 35 WHEN 'de' THEN 15 ELSE 0 END GROUP BY lang
 """)
 def quota_mix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = rows.quota_mix(docs(spark, sf_dir), "lang", {"en": 50, "fr": 35, "de": 15}, "doc_id", 3407)
+    m = rows.quota_mix(docs(spark, sf_dir).select("doc_id", "lang"), "lang", {"en": 50, "fr": 35, "de": 15}, "doc_id", 3407)
     return m.groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
@@ -77,12 +77,12 @@ SELECT doc_id, lang, k // w AS cycle, f + k % w AS slot FROM (SELECT doc_id, lan
   CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS w, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 3 ELSE 5 END AS f FROM documents WHERE lang IN ('en', 'fr', 'de'))
 """)
 def round_robin_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.round_robin(docs(spark, sf_dir), "lang", {"en": 3, "fr": 2, "de": 1}, "doc_id").select("doc_id", "lang", "cycle", F.col("slot").cast("long").alias("slot"))
+    return rows.round_robin(docs(spark, sf_dir).select("doc_id", "lang"), "lang", {"en": 3, "fr": 2, "de": 1}, "doc_id").select("doc_id", "lang", "cycle", F.col("slot").cast("long").alias("slot"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS lane FROM documents")
 def alternating_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.alternate(docs(spark, sf_dir), "lang", ["en", "fr", "de", "es"], "doc_id").select("doc_id", F.col("turn").cast("long").alias("turn"), F.col("lane").cast("int").alias("lane"))
+    return rows.alternate(docs(spark, sf_dir).select("doc_id", "lang"), "lang", ["en", "fr", "de", "es"], "doc_id").select("doc_id", F.col("turn").cast("long").alias("turn"), F.col("lane").cast("int").alias("lane"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import stats, text
-from corpusweave.operators import reference, rewards
+from corpusweave.operators import quantiles, reference, rewards
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs, tokens
 from corpusweave.sources.tables import table
@@ -38,7 +38,7 @@ SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, avg(l_quantity) AS me
 FROM lineitem GROUP BY 1, 2
 """)
 def metric_summary_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*stats.summary("l_quantity"))
+    return quantiles.summarized(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 @query(f"""
@@ -201,7 +201,9 @@ def paired_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = o.where(F.col("o_orderpriority") == "1-URGENT").agg(F.avg("o_totalprice").alias("m"))
     p = side("5-LOW", "b").join(side("3-MEDIUM", "a"), "o_custkey").crossJoin(F.broadcast(m))  # m is one row
     nearer = (F.abs(F.col("a") - F.col("m")) < F.abs(F.col("b") - F.col("m"))).cast("int")
-    return p.agg(F.count("*").alias("n_pairs"), F.avg(nearer).alias("nearer_share"), F.avg(F.col("a") - F.col("b")).alias("mean_delta"), F.percentile((F.col("b") - F.col("a")) / F.nullif(F.col("b"), F.lit(0.0)), 0.5).alias("median_reduction"))
+    p = p.withColumn("reduction", (F.col("b") - F.col("a")) / F.nullif(F.col("b"), F.lit(0.0)))
+    out = p.agg(F.count("*").alias("n_pairs"), F.avg(nearer).alias("nearer_share"), F.avg(F.col("a") - F.col("b")).alias("mean_delta"))
+    return out.join(quantiles.quantiles(p, [], "reduction", (0.5,)).select(F.get("q", 0).alias("median_reduction")), F.lit(True), "left")  # one row each
 
 
 @query("SELECT event_type, count(*) AS n, avg(value) AS mean, avg((value < 10)::INT) AS low_rate, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import arrays, lexical, stats, text
-from corpusweave.operators import chat, reference, rewrite, scorer
+from corpusweave.operators import chat, quantiles, reference, rewrite, rows, scorer
 from corpusweave.plans.group_queries import _VALUES, values
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs, tokens
@@ -132,8 +132,9 @@ WITH g AS (SELECT user_id, count(*) AS n, stddev_pop(value) AS std, avg((event_t
 SELECT * FROM g
 """)
 def group_risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("std"), F.avg((F.col("event_type") == "purchase").cast("int")).alias("ok_rate"), F.avg((F.col("value") < 0).cast("int")).alias("negative_rate"), q.alias("q"))
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("user_id").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("std"), F.avg((F.col("event_type") == "purchase").cast("int")).alias("ok_rate"), F.avg((F.col("value") < 0).cast("int")).alias("negative_rate"))
+    g = g.join(quantiles.quantiles(e, ["user_id"], "value", (0.25, 0.75)).select("user_id", "q"), "user_id", "left")
     return g.select("user_id", "n", "std", "ok_rate", "negative_rate", F.get("q", 0).alias("p25"), F.get("q", 1).alias("p75"))
 
 
@@ -175,9 +176,10 @@ s AS (SELECT range AS pos, ['en', 'en', 'fr', 'de'][range % 4 + 1] AS lang, CASE
 SELECT pos, s.lang, p.doc_id FROM s JOIN p ON p.lang = s.lang AND p.k = s.k % p.n
 """)
 def balanced_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """400 positions over a type pattern; each type walks its hash-ordered pool round and round."""
+    """400 positions over a type pattern; each type walks its hash-ordered pool round and round. Types
+    that the pattern doesn't name take no part, as the sampler has it."""
     pool = docs(spark, sf_dir).where("lang IN ('en', 'fr', 'de')").withColumn("h", F.sha2(F.concat(F.lit("7|"), F.col("doc_id").cast("string")), 256))
-    pool = pool.withColumn("k", (F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")) - 1).cast("long"))
+    pool = rows.numbered_within(pool.select("lang", "h", "doc_id"), "lang", "k", "h", "doc_id")
     sizes = pool.groupBy("lang").agg(F.count("*").alias("n"))
     pattern = F.array(*[F.lit(x) for x in ("en", "en", "fr", "de")])
     q, r = F.floor(F.col("id") / 4), F.pmod("id", F.lit(4))

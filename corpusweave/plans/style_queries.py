@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusweave.functions import stats, tagging, text
-from corpusweave.operators import analysis, lexicon, reference, rewards, rewrite, scorer
+from corpusweave.functions import stats, tag_arrays, tagging, text
+from corpusweave.operators import analysis, lexicon, linear, quantiles, reference, rewards, rewrite, scorer, tagger
 from corpusweave.plans.metric_queries import turn_pairs
 from corpusweave.plans.registry import query
 from corpusweave.plans.text_queries import docs
@@ -47,7 +48,7 @@ SELECT d.doc_id, coalesce(s.n, 0) AS morph_count, coalesce(p.n, 0) AS pos_token_
 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN b USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _N)}
 """)
 def tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs(spark, sf_dir).select("doc_id", tagging.tag_measures(tagging.tagged(F.col("text"))).alias("m"))
+    t = docs(spark, sf_dir).select("doc_id", tag_arrays.tag_measures(tagging.tagged(F.col("text"))).alias("m"))
     return t.select("doc_id", *[c.alias(k) for k, c in tagging.tag_metrics("m").items()])
 
 
@@ -70,21 +71,20 @@ def tag_group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def analyzed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full metric row of every document; tests hold it against plain Python."""
-    return analysis.analyzed(docs(spark, sf_dir), ["doc_id"])
+    d = docs(spark, sf_dir)
+    return analysis.analyzed(d, ["doc_id"], tagger=tagger.train(d))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
-def usage(rows: DataFrame, human: str = "quality = 1", most: int = scorer.MOST_GRAM) -> DataFrame:
+def usage(rows: DataFrame, human: str = "quality = 1", most: int = scorer.MOST_GRAM, model: tagger.Model | None = None) -> DataFrame:
     """Tag n-gram shares of the texts of rows(text) by side: n, key, human_p, ai_p, weight."""
-    side = F.expr(human)
-    t = rows.select(side.alias("human"), tagging.tags(tagging.unmarked(tagging.tagged(F.col("text")))).alias("t"))
-    sizes = F.array(*[F.lit(n) for n in range(1, most + 1)])
-    grams = F.transform(sizes, lambda n: F.struct(n.cast("string").alias("n"), F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, n), "/"))).alias("g")))
-    g = t.select("human", F.explode(grams).alias("x")).select("human", "x.n", F.explode("x.g").alias("key"))
-    c = g.groupBy("n", "key").agg(F.count_if("human").alias("h"), F.count_if(~F.col("human")).alias("a"))
+    t = rows.select(F.expr(human).alias("human"), tagging.tags(tagging.unmarked((model or tagging).tagged(F.col("text")))).alias("t"))
+    g = t.select("human", F.explode(tag_arrays.tag_grams(F.col("t"), most)).alias("x")).select("human", "x.*")
+    of = lambda held: F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0))
+    c = g.groupBy("n", "key").agg(of(F.col("human")).alias("h"), of(~F.col("human")).alias("a"))
     total = c.groupBy("n").agg(F.sum("h").alias("h_all"), F.sum("a").alias("a_all"))
     c = c.join(F.broadcast(total), "n")  # one row for each n
     return c.select("n", "key", (F.col("h") / F.nullif("h_all", F.lit(0))).alias("human_p"), (F.col("a") / F.nullif("a_all", F.lit(0))).alias("ai_p"), F.lit(0.5).alias("weight"))
@@ -123,15 +123,62 @@ def tag_usage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.usage_scores(t, ["doc_id"], usage(_labelled(spark, sf_dir), most=3)).select("doc_id", "n", "human_distance", "ai_distance", "score")
 
 
-def style_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A reference, tag usage and a lexicon, made of the labelled documents by their quality."""
+def style_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, tagger.Model, np.ndarray]:
+    """A reference, tag usage, a lexicon, a tagger and a classifier of style, made of the labelled
+    documents: by their quality, and the classifier without those it is tested on."""
     rows = _labelled(spark, sf_dir)
+    model = tagger.train(rows)
+    weights = classifier(rows, model)
     terms = rows.select("quality", F.explode(lexicon.feature_tokens(F.col("text"))).alias("term"))
     words = reference.lexicon(terms, F.col("quality") == 1, least=5).where("lift >= 4").select(F.lit("unigram").alias("kind"), F.lit(0).alias("skip"), F.col("term").alias("key"), F.greatest(F.lit(0.05), "weight").alias("weight"))
     words = settled(words, "lexicon")
-    m = scorer.measured(rows, ["doc_id", "quality"], "text", words).drop("_tags")
+    m = scorer.measured(rows, ["doc_id", "quality"], "text", words, model, weights).drop("_tags")
     v = settled(reference.long_form(m, ["doc_id", "quality"], [c for c in m.columns if c not in ("doc_id", "quality")]), "values")
-    return settled(reference.style_reference(v, F.col("quality") == 1), "reference"), settled(usage(rows), "usage"), words
+    return settled(reference.style_reference(v, F.col("quality") == 1), "reference"), settled(usage(rows, model=model), "usage"), words, model, weights
+
+
+def held_out(doc_id: Column) -> Column:
+    """The fifth of the documents that the classifier never learns from."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def _tokens(model: tagger.Model, column: str = "text") -> list[Column]:
+    t = model.tagged(F.col(column))
+    return [F.transform(t, lambda x: x["form"]).alias("forms"), F.transform(t, lambda x: x["tag"]).alias("tags")]
+
+
+def classifier(rows: DataFrame, model: tagger.Model) -> np.ndarray:
+    """Weights that tell rows(doc_id, text, quality) of quality 1 (above 0) from the others."""
+    known = rows.where(~held_out(F.col("doc_id")))
+    return linear.fit(known.select("text", (F.col("quality") == 1).alias("label"), *_tokens(model)))
+
+
+@query()
+def style_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's decision value of every document; above 0 as those of quality 1. Tests hold
+    the values against plain Python on the same weights, and the accuracy on held-out rows."""
+    rows, d = _labelled(spark, sf_dir), docs(spark, sf_dir)
+    model = tagger.train(d)
+    weights = classifier(rows, model)
+    d = d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *_tokens(model))
+    return d.select("doc_id", "held_out", linear.decision(weights, F.col("text"), F.col("forms"), F.col("tags")).alias("value"))
+
+
+@query()
+def trained_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the trained tagger gives each tag, by language, and to how many forms."""
+    d = docs(spark, sf_dir)
+    t = d.select("lang", F.explode(tagger.train(d).tagged(F.col("text"))).alias("t"))
+    forms = t.groupBy("lang", "t.tag", F.lower("t.form").alias("form")).agg(F.count("*").alias("n"))
+    return forms.groupBy("lang", "tag").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"))
+
+
+@query()
+def trained_tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag_metrics on the trained tagger's tags."""
+    d = docs(spark, sf_dir)
+    t = d.select("doc_id", tagger.train(d).tagged(F.col("text")).alias("t")).select("doc_id", tag_arrays.tag_measures(F.col("t")).alias("m"))
+    return t.select("doc_id", *[c.alias(k) for k, c in tagging.tag_metrics("m").items()])
 
 
 @query()
@@ -281,7 +328,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LONG} SELECT lang AS eval_task, quality AS grp, metric, {_SUMMARY} FROM v GROUP BY 1, 2, 3")
 def group_summary_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _values(spark, sf_dir).withColumnsRenamed({"lang": "eval_task", "quality": "grp"})
-    return v.groupBy("eval_task", "grp", "metric").agg(*stats.summary("value"))
+    return quantiles.summarized(v, ["eval_task", "grp", "metric"], "value")
 
 
 @query(f"""
@@ -324,7 +371,8 @@ SELECT role AS task, CASE WHEN length(text) < 40 THEN 'short' ELSE '' END AS rea
 """)
 def scored_output_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
-    return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("task"), F.when(n < 40, "short").otherwise("").alias("reason")).agg(F.count("*").alias("n"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"))
+    t = table(spark, sf_dir, "conversations").select(F.col("role").alias("task"), F.when(n < 40, "short").otherwise("").alias("reason"), n.alias("chars"))
+    return quantiles.summarized(t, ["task", "reason"], "chars").select("task", "reason", "n", "mean", "median")
 
 
 @query("""

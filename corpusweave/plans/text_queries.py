@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions import arrays, text
 from corpusweave.plans.registry import query
-from corpusweave.sources.tables import table
+from corpusweave.sources.tables import spread, table
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """All documents, dealt out over the cores where they come from few files."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def tokens(df: DataFrame, least: int = 1) -> DataFrame:

@@ -12,14 +12,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of df for all cores: rows of fewer files than there are cores are dealt out, as a small
+    file is one task however much work its rows are. More files stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def _settled_dir(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return f"{(top or spark.conf.get('spark.sql.warehouse.dir') + '/corpusweave').rstrip('/')}/settled-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's settled tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_settled_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a table that later steps read instead of computing it again. It is written to the folder
     of spark.checkpoint.dir, which the driver and all executors share, or, where executors are
-    threads of the driver and that is unset, to the warehouse; it outlives any executor."""
+    threads of the driver and that is unset, to the warehouse; it outlives any executor. clear() deletes
+    all tables of an application."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-    path = f"{(top or spark.conf.get('spark.sql.warehouse.dir') + '/corpusweave').rstrip('/')}/settled-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_settled_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
