@@ -5,7 +5,7 @@ was seen: the longest context with a count gives the bucket, by the power of two
 weights are learned by expectation-maximisation on a deleted part of the training documents, with counts
 from the kept part; the final counts are those of both parts.
 
-How it runs: documents become blocks of about a million words, each a table of its words and the places
+How it runs: documents become blocks of about half a million words, each a table of its words and the places
 that use them. A block asks for its distinct n-grams: their keys, sorted, with the counts that it adds.
 The requests are dealt by key range, so a task counts one range for the whole corpus and answers each
 block in the order that it asked. No n-gram leaves a block twice, nothing is broadcast, and no count is
@@ -41,11 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.flat import ROOT, U64, mix
-from corpusweave.llm.packed import pack, pack_counts, pack_sorted, unpack, unpack_counts, unpack_sorted
+from corpusweave.llm.packed import pack, pack_counts, pack_sorted, squeezed, unpack, unpack_counts, unpack_sorted, unsqueezed
 from corpusweave.llm.store import bounded_batches, text_bytes, written
 
 START, END = b" start", b" end"  # no word holds a space
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 PIECE_BYTES = 4 << 20
 #: Text for each range of keys, which is one task's.
 RANGE_BYTES = 8 << 20
@@ -90,7 +90,7 @@ class _Block:
     def row(self, block: int, part: int) -> pa.RecordBatch:
         uids, docs, sizes, ends = zip(*self.segments, strict=True)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), U64, len(self.words))
-        binary = [pack(np.array(uids)), pack(np.array(sizes)), pack(np.array(ends, np.int64)), pack(np.concatenate(self.ids)), hashes.astype("<u8").tobytes()]
+        binary = [pack(np.array(uids)), pack(np.array(sizes)), pack(np.array(ends, np.int64)), squeezed(pack(np.concatenate(self.ids))), hashes.astype("<u8").tobytes()]
         cols = [pa.array([block]), pa.array([part], pa.int32()), pa.array([sum(ends)]), *(pa.array([b], pa.binary()) for b in binary)]
         cols.insert(4, pa.array([docs], pa.list_(pa.int64())))
         return pa.RecordBatch.from_arrays(cols, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
@@ -130,7 +130,7 @@ class _Grams:
 
     def __init__(self, row: dict, bits: int) -> None:
         self.hashes = np.frombuffer(row["hashes"], "<u8").astype(U64)
-        self.ids = unpack(row["ids"])
+        self.ids = unpack(unsqueezed(row["ids"]))
         self.sizes = unpack(row["sizes"])
         at = np.cumsum(self.sizes + 2) - self.sizes - 2
         inside = np.ones(len(self.ids), bool)
@@ -209,7 +209,7 @@ def _answer(table: pa.Table) -> pa.Table:
     rows, at = [], 0
     for block, n, own in zip(blocks, sizes, parts.tolist(), strict=True):
         use = place[at : at + n]
-        rows.append((block, length, number, pack_counts(trained[use]), pack_counts(kept[use]) if own == LEFT_OUT else None, None, None, None, None))
+        rows.append((block, length, number, squeezed(pack_counts(trained[use])), squeezed(pack_counts(kept[use])) if own == LEFT_OUT else None, None, None, None, None))
         at += n
     if length == 1:
         rows.append((None, length, number, None, None, *(int(f(x)) for x in (trained, kept) for f in (np.count_nonzero, np.sum))))
@@ -220,7 +220,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _answered(table: pa.Table, column: str) -> list[np.ndarray]:
     """The counts that were answered, by length, in the order of the block's sorted keys."""
     rows = sorted(zip(table.column("length").to_pylist(), table.column("range").to_pylist(), range(table.num_rows), strict=True))
-    return [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(table.column(column)[k].as_py()) for length, _, k in rows if length == x)]) for x in (1, 2, 3)]
+    return [np.concatenate([np.zeros(0, np.int64), *(unpack_counts(unsqueezed(table.column(column)[k].as_py())) for length, _, k in rows if length == x)]) for x in (1, 2, 3)]
 
 
 def _bucket(x2: np.ndarray, x1: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _WIDTHS = ((8, "<u1"), (16, "<u2"), (32, "<u4"), (64, "<u8"))
 
@@ -37,3 +38,12 @@ def unpack_counts(data: bytes) -> np.ndarray:
     out = np.frombuffer(data, "u1", n, 8).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<u8", offset=8 + n).astype(np.int64)
     return out
+
+
+def squeezed(data: bytes) -> bytes:
+    """The bytes compressed, for what is written and shuffled as a whole."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)

@@ -37,7 +37,8 @@ def test_pack(xs):
 
 @given(st.lists(st.integers(0, 2**50)))
 def test_pack_counts(xs):
-    assert packed.unpack_counts(packed.pack_counts(np.array(xs, np.int64))).tolist() == xs
+    data = packed.pack_counts(np.array(xs, np.int64))
+    assert packed.unpack_counts(packed.unsqueezed(packed.squeezed(data))).tolist() == xs
 
 
 # --- divergence
