@@ -133,15 +133,18 @@ def _sql_spans(kind: int, pattern: str, value: int, keep: str) -> str:
   WHERE {keep}"""
 
 
+def _sql_near(kinds: str) -> str:
+    """Whether a part of some kinds lies fewer than SCOPE code points from the part c."""
+    return f"""EXISTS (FROM p n WHERE n.doc_id = c.doc_id AND n.kind IN ({kinds}) AND n."start" < c."end" + {secrets.SCOPE} AND n."end" > c."start" - {secrets.SCOPE})"""
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({" UNION ALL ".join([
     _sql_spans(0, secrets.ASSIGN, 2, "length(v) >= 8"), _sql_spans(1, secrets.ACCESS, 0, "e - s >= 16"), _sql_spans(2, secrets.HEX, 0, "true"), _sql_spans(3, secrets.ASSIGN, 2, "length(v) < 8"),
     _sql_spans(3, secrets.WEAK_SECRET, 0, "true"), _sql_spans(4, secrets.WEAK_ID, 0, "true"), _sql_spans(5, secrets.WEAK_ENDPOINT, 0, "true")])}),
-c AS (SELECT DISTINCT doc_id, kind, "start", "end", unnest(range("start" // 256 - 1, ("end" - 1) // 256 + 1)) AS scope FROM p),
-n AS (SELECT doc_id, scope, bool_or(kind IN (0, 2, 3)) AS secret, bool_or(kind IN (1, 4)) AS ident FROM c GROUP BY ALL),
-w AS (SELECT DISTINCT doc_id, kind, "start", "end" FROM c JOIN n USING (doc_id, scope)
-      WHERE (kind = 3 AND ident) OR (kind = 4 AND secret) OR (kind = 5 AND ident AND secret)),
+w AS (SELECT DISTINCT doc_id, kind, "start", "end" FROM p c
+      WHERE kind >= 3 AND (kind = 4 OR {_sql_near("1, 4")}) AND (kind = 3 OR {_sql_near("0, 2, 3")})),
 a AS (SELECT doc_id, kind, "start", "end" FROM p WHERE kind < 3 UNION ALL SELECT * FROM w),
 k AS (SELECT *, concat(['assign', 'access', 'hex', 'weak_secret', 'weak_id', 'weak_endpoint'][kind + 1], ':', "start", ':', "end") AS x FROM a),
 o AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

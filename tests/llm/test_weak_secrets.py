@@ -94,3 +94,30 @@ def test_redaction_of_overlapping_spans(spark):
                 want += text[at:a] + "<secret>"
             at = max(at, b)
         assert got["r"] == want + text[at:]
+
+
+def test_sql_links_weak_parts_by_distance(spark):
+    """The registered SQL and the query agree on texts with weak parts at all offsets."""
+    import duckdb
+    import pandas as pd
+
+    from corpusweave.llm import queries
+
+    rng = random.Random(12)
+    parts = [ID, SECRET, ENDPOINT, "password=abcdefgh12", "token: x1", "AKIA" + "A1" * 8, "ab" * 20, "account=é login:me"]
+    texts = ["." * k + " " + ID + " " * gap + SECRET for gap in (300, 511, 512) for k in range(0, 600, 7)]
+    texts += ["é" * k + " " + ENDPOINT + " " * 250 + SECRET + " " * 250 + ID for k in range(0, 600, 11)]
+    texts += [" ".join(rng.choice([p, "." * rng.randrange(400)]) for p in rng.choices(parts, k=rng.randrange(9))) for _ in range(200)]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", rows)
+    want = con.execute(queries.SQL["op10_secrets"]).df()
+    op10 = queries.op10_secrets.__globals__
+    before, op10["table"] = op10["table"], lambda *_: spark.createDataFrame(rows)
+    try:
+        got = queries.op10_secrets(spark, "").toPandas()
+    finally:
+        op10["table"] = before
+    key = sorted(want.columns)
+    assert sorted(map(tuple, got[key].astype(str).values.tolist())) == sorted(map(tuple, want[key].astype(str).values.tolist()))
+    assert got["spans"].str.contains("weak_").sum() > 200
