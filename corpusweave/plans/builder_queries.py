@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions import text
 from corpusweave.operators import builders, chat, chunking, rows
 from corpusweave.plans.registry import query
-from corpusweave.plans.text_queries import docs
+from corpusweave.plans.text_queries import CONTRACT_TEXT, docs
 from corpusweave.sources.tables import table
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -164,9 +164,9 @@ def first_chunks_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builders.first_per_file(docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 2)
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] <> '' AND list_position(w, w[i]) = i), lambda i: w[i]), ' ') AS words FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents)")
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] <> '' AND list_position(w, w[i]) = i), lambda i: w[i]), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.array_join(text.first_distinct(F.split(F.substring("text", 1, 200), " ")), " ").alias("words"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.first_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS chars FROM documents")
@@ -253,13 +253,14 @@ def terminal_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(ids).cast("long").alias("n"), F.size(chat.without_terminal(ids, [ord(c) + 3 for c in ".!? "])).cast("long").alias("trimmed"))
 
 
-@query("""
-SELECT conv_id, turn, true AS prompt_masked, length(text) > 0 AS answer_seen, true AS open_seen, true AS close_seen, true AS nothing_after FROM conversations WHERE role = 'assistant' AND text <> ''
+@query(f"""
+WITH a AS (SELECT conv_id, turn, {CONTRACT_TEXT} AS a FROM conversations)
+SELECT conv_id, turn, true AS prompt_masked, length(a) > 0 AS answer_seen, contains(a, '<result>') AS open_seen, contains(a, '</result>') AS close_seen, ends_with(a, '</result>') AS nothing_after FROM a WHERE a <> ''
 """)
 def mask_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of loss masks over a prompt and a tagged answer."""
-    t = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text <> ''")
-    return t.select("conv_id", "turn", F.inline(F.array(chat.mask_checks(F.lit("Write: "), F.concat(F.lit("<result>"), "text", F.lit("</result>"))))))
+    """Checks of loss masks over a prompt and answers that keep their contract in several ways."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(CONTRACT_TEXT).alias("a")).where("a <> ''")
+    return t.select("conv_id", "turn", F.inline(F.array(chat.mask_checks(F.lit("Write: "), F.col("a")))))
 
 
 @query()

@@ -169,13 +169,15 @@ def std_update_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT user_id, stddev_pop(value) / 100 AS s, avg((event_type = 'purchase')::INT) AS c, avg((value < 5)::INT) AS f FROM events GROUP BY 1),
 w AS (SELECT user_id, CASE WHEN s <= 0.04 THEN 0 WHEN s >= 0.12 THEN 1 ELSE (s - 0.04) / 0.08 END * CASE WHEN s <= 0.55 THEN 1 WHEN s >= 0.85 THEN 0.25 ELSE 1 - 0.75 * (s - 0.55) / 0.3 END
   * CASE WHEN c <= 0.50 THEN 0 WHEN c >= 0.85 THEN 1 ELSE (c - 0.50) / 0.35 END * CASE WHEN f <= 0.15 THEN 1 WHEN f >= 0.45 THEN 0 ELSE 1 - (f - 0.15) / 0.3 END AS w FROM g)
-SELECT user_id, w::DOUBLE AS weight, CASE WHEN w >= 0.75 THEN 'use' WHEN w >= 0.25 THEN 'downweight' ELSE 'skip' END AS decision FROM w
+SELECT user_id, u AS update_index, CASE WHEN u = 0 THEN 1 ELSE w END::DOUBLE AS weight, CASE WHEN u = 0 THEN 'first_update' WHEN w >= 0.75 THEN 'use' WHEN w >= 0.25 THEN 'downweight' ELSE 'skip' END AS decision FROM w, (SELECT unnest([0, 1, 2]) AS u)
 """)
 def update_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy("user_id").agg((F.stddev_pop("value") / 100).alias("s"), F.avg((F.col("event_type") == "purchase").cast("int")).alias("c"), F.avg((F.col("value") < 5).cast("int")).alias("f"))
     none = F.lit(None).cast("double")
-    w = rewards.update_gate(F.col("s"), none, none, F.col("c"), F.col("f"))
-    return g.select("user_id", w.alias("weight"), rewards.gate_decision(w).alias("decision"))
+    g = g.withColumn("update_index", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    u = F.col("update_index")
+    w = rewards.update_gate(F.col("s"), none, none, F.col("c"), F.col("f"), update=u)
+    return g.select("user_id", "update_index", w.alias("weight"), rewards.gate_decision(w, u).alias("decision"))
 
 
 _LEXICON = """

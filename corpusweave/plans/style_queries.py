@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import stats, tag_arrays, tagging, text
-from corpusweave.operators import analysis, lexicon, linear, quantiles, reference, rewards, rewrite, scorer, tagger
+from corpusweave.operators import analysis, lexicon, linear, quantiles, reference, rewards, rewrite, rows, scorer, tagger
 from corpusweave.plans.metric_queries import turn_pairs
 from corpusweave.plans.registry import query
-from corpusweave.plans.text_queries import docs
+from corpusweave.plans.text_queries import CONTRACT_REASONS, CONTRACT_TEXT, docs
 from corpusweave.sources.tables import settled, table
 
 _FORMS = f"regexp_extract_all(text, '{tagging.TOKEN}')"
@@ -210,12 +210,15 @@ def length_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", rewards.length_penalty(F.char_length(text.strip(F.col("text"))), 1000, 4500).cast("double").alias("penalty"))
 
 
-_REASONED = "CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'missing_result_close' WHEN 2 THEN 'post_result_text' WHEN 3 THEN 'thought_leak' ELSE 'else' END"
-
-
-@query(f"SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 0 WHEN 1 THEN -0.18 WHEN 2 THEN -0.12 WHEN 3 THEN -0.30 ELSE -0.20 END::DOUBLE AS penalty FROM conversations")
+@query(f"""
+WITH {CONTRACT_REASONS}
+SELECT conv_id, turn, reason, CASE reason WHEN 'ok' THEN 0 {" ".join(f"WHEN '{k}' THEN {v}" for k, v in scorer.PENALTIES.items())} ELSE {scorer.OTHER_PENALTY} END::DOUBLE AS penalty FROM q
+""")
 def contract_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scorer.contract_penalty(F.expr(_REASONED)).alias("penalty"))
+    """What each turn's text loses for the way it keeps its contract."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(CONTRACT_TEXT).alias("t"))
+    t = t.withColumn("reason", F.coalesce(text.result_contract(F.col("t"))["reason"], F.lit("")))
+    return t.select("conv_id", "turn", F.when(F.col("reason") == "", "ok").otherwise(F.col("reason")).alias("reason"), scorer.contract_penalty(F.col("reason")).alias("penalty"))
 
 
 @query()
@@ -424,8 +427,10 @@ def sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "left").select("doc_id", "metric", F.coalesce("text", F.lit("")).alias("sample"))
 
 
-@query(f"WITH {_LONG} SELECT metric, quality, avg(value) AS mean, stddev_samp(value) AS std, string_agg(doc_id::VARCHAR, ',' ORDER BY value, doc_id) AS order_of FROM v GROUP BY 1, 2")
+@query(f"WITH {_LONG} SELECT metric, quality, doc_id, row_number() OVER (PARTITION BY metric, quality ORDER BY value, doc_id) - 1 AS place, avg(value) OVER (PARTITION BY metric, quality) AS mean, stddev_samp(value) OVER (PARTITION BY metric, quality) AS std FROM v")
 def group_value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group's values in order; the groups are those of a report, small by their making."""
-    v = _values(spark, sf_dir).groupBy("metric", "quality").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.sort_array(F.collect_list(F.struct("value", "doc_id"))).alias("l"))
-    return v.select("metric", "quality", "mean", "std", F.array_join(F.transform("l", lambda x: x["doc_id"].cast("string")), ",").alias("order_of"))
+    """Each group's values in order, one row a value, with the group's mean and deviation."""
+    v = _values(spark, sf_dir).withColumn("grp", F.concat_ws("|", "metric", F.col("quality").cast("string")))
+    stat = v.groupBy("grp").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    placed = rows.numbered_within(v, "grp", "place", "value", "doc_id").join(stat, "grp")
+    return placed.select("metric", "quality", "doc_id", "place", "mean", "std")

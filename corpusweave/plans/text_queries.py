@@ -45,20 +45,21 @@ def char_ratio_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", *[text.class_ratio(t, "[a-z]", k).alias(f"of_{k}") for k in ("nonspace", "all", "letters")], text.compact_length(t).cast("long").alias("compact_chars"))
 
 
-_CONTRACT_TEXT = """
+CONTRACT_TEXT = """
 CASE turn % 6 WHEN 0 THEN '<result>' || text || '</result>' WHEN 1 THEN text WHEN 2 THEN '<result>' || text WHEN 3 THEN text || '</result>'
   WHEN 4 THEN '<result>' || text || '</result> and more' ELSE '<result><result>' || text || '</result>' END"""
 
 
-@query(f"""
-WITH t AS (SELECT conv_id, turn, trim({_CONTRACT_TEXT}) AS t FROM conversations),
-p AS (SELECT *, strpos(t, '<result>') AS o, strpos(t, '</result>') AS c, (length(t) - length(replace(t, '<result>', ''))) // 8 AS n_o, (length(t) - length(replace(t, '</result>', ''))) // 9 AS n_c FROM t)
-SELECT CASE WHEN o = 0 AND c = 0 THEN 'missing_result_tags' WHEN o = 0 THEN 'missing_result_open' WHEN c = 0 THEN 'missing_result_close' WHEN n_o > 1 THEN 'multiple_result_open'
-         WHEN n_c > 1 THEN 'multiple_result_close' WHEN trim(substr(t, c + 9)) <> '' THEN 'post_result_text' WHEN length(trim(substr(t, o + 8, c - o - 8))) < 40 THEN 'empty_or_short_result' ELSE 'ok' END AS reason,
-       count(*) AS n FROM p GROUP BY 1
-""")
+CONTRACT_REASONS = f"""
+t AS (SELECT conv_id, turn, trim({CONTRACT_TEXT}) AS t FROM conversations),
+p AS (SELECT *, strpos(t, '<result>') AS o, strpos(t, '</result>') AS c, (length(t) - length(replace(t, '<result>', ''))) // 8 AS n_o, (length(t) - length(replace(t, '</result>', ''))) // 9 AS n_c FROM t),
+q AS (SELECT conv_id, turn, CASE WHEN o = 0 AND c = 0 THEN 'missing_result_tags' WHEN o = 0 THEN 'missing_result_open' WHEN c = 0 THEN 'missing_result_close' WHEN n_o > 1 THEN 'multiple_result_open'
+         WHEN n_c > 1 THEN 'multiple_result_close' WHEN trim(substr(t, c + 9)) <> '' THEN 'post_result_text' WHEN length(trim(substr(t, o + 8, c - o - 8))) < 40 THEN 'empty_or_short_result' ELSE 'ok' END AS reason FROM p)"""
+
+
+@query(f"WITH {CONTRACT_REASONS} SELECT reason, count(*) AS n FROM q GROUP BY 1")
 def result_contract_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select(F.expr(_CONTRACT_TEXT).alias("t"))
+    t = table(spark, sf_dir, "conversations").select(F.expr(CONTRACT_TEXT).alias("t"))
     return t.select(F.coalesce(text.result_contract(F.col("t"))["reason"], F.lit("ok")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 

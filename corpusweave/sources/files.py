@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,10 +207,12 @@ def write_eval_folder(spark: SparkSession, path: str, frames: dict[str, DataFram
     return noted
 
 
-def write_report(spark: SparkSession, path: str, tests: DataFrame, tasks: list[str], samples: DataFrame, top: int = 12, chars: int = 500) -> str:
+def write_report(spark: SparkSession, path: str, tests: DataFrame, tasks: list[str], samples: DataFrame, top: int = 12, chars: int = 500, most: int = 20) -> str:
     """A Markdown report: of each task the tests with the largest effects (eval_task, metric,
-    left_group, right_group, cliffs_delta) and sample texts (eval_task, group, id, text), cut to
-    `chars`. Only the rows shown reach the driver."""
+    left_group, right_group, cliffs_delta) and sample texts (eval_task, group, id, text), the first
+    `most` of each group by id, cut to `chars`. Only the rows shown reach the driver."""
+    first = Window.partitionBy("eval_task", "group").orderBy("id")  # the limit holds before the shuffle
+    samples = samples.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
     out = ["# Report"]
     for task in tasks:
         rows = tests.where(F.col("eval_task") == task).orderBy(F.abs("cliffs_delta").desc_nulls_last(), "metric", "left_group", "right_group").limit(top).collect()
