@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.sources.tables import settled
+
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and means of events(ts, event_type, value) by tumbling window; works on streams (with
@@ -27,3 +30,30 @@ def append_by_batch(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def upsert_steps(rows: DataFrame, path: str, key: str = "metric") -> None:
+    """Write rows(step, key, ..) to a log by step. What the log has of a (step, key) is replaced, its
+    other rows stay; so a repeated batch leaves one row for each. Only the steps of `rows` are rewritten."""
+    spark = rows.sparkSession
+    new = rows.dropDuplicates(["step", key])
+    try:
+        old = spark.read.schema(rows.schema).parquet(path).join(new.select("step").distinct(), "step", "left_semi").select(*rows.columns)
+        new = new.unionByName(old.join(new.select("step", key), ["step", key], "left_anti"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new = settled(new, "steps")  # what it reads is what it overwrites
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
+def log_steps(stream: DataFrame, path: str, checkpoint: str, key: str = "metric"):
+    """A stream of metrics by step, upserted into a log in each micro-batch."""
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_steps(batch, path, key)).option("checkpointLocation", checkpoint)
+
+
+def ready_folders(spark: SparkSession, folder: str, marker: str = "_READY") -> list[str]:
+    """The subfolders of a folder that hold a marker file, which writers put there last, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/*/{marker}"))
+    return sorted(x.getPath().getParent().toString() for x in (found or []))
