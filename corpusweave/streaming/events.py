@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.operators.rows import keep_first
 from corpusweave.sources.tables import settled
 
 
@@ -57,3 +58,28 @@ def ready_folders(spark: SparkSession, folder: str, marker: str = "_READY") -> l
     path = spark._jvm.org.apache.hadoop.fs.Path
     found = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{folder}/*/{marker}"))
     return sorted(x.getPath().getParent().toString() for x in (found or []))
+
+
+def first_of_each(rows: DataFrame, key: Column, at: str, late: str = "1 hour") -> DataFrame:
+    """The first arrival of each key, by which a stream keeps one of equal texts: a key is remembered
+    until the watermark has left its first time by `late`, so state doesn't grow with the stream. On a
+    table, the earliest row of each key."""
+    if not rows.isStreaming:
+        return keep_first(rows, key, at)
+    return rows.withColumn("_key", key).withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+
+
+def running_means(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Count and mean of a value by group; a stream in update mode gives a group's new row whenever it
+    changes. What isn't finite is left out."""
+    some = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    return some.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
+def follow_means(stream: DataFrame, by: str, value: str, path: str, checkpoint: str):
+    """Keep a table of running_means() of a stream: a group has one row, its latest."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        upsert_steps(batch.withColumnRenamed(by, "step").withColumn("metric", F.lit(value)), path)
+
+    return running_means(stream, by, value).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
