@@ -295,7 +295,7 @@ def score_texts(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, range_bytes:
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = text_bytes(docs) + 1
-    bits, range_bits = min(64, size.bit_length() + 17), max(1, (size // range_bytes).bit_length())
+    bits, range_bits = min(64, size.bit_length() + 14), max(1, (size // range_bytes).bit_length())
     source = docs.select("doc_id", part_of(F.col("doc_id")).alias("part"), F.col("text").cast("binary").alias("text"))
     blocks = written(source.mapInArrow(_blocks(block_tokens), BLOCKS), "blocks")
     asked = blocks.mapInArrow(_ask(bits, range_bits), ASKED)
