@@ -42,6 +42,19 @@ def scored(values: DataFrame, reference: DataFrame) -> DataFrame:
     return r.withColumn("score", score).withColumn("family", metric_family(F.col("metric"))).withColumn("metric_weight", separation_weight(F.col("weight"), F.col("ai_in_human_iqr_rate")))
 
 
+def composites(values: DataFrame, human: Column, key: str, groups: dict[str, list[str]]) -> DataFrame:
+    """Of values(key, metric, value), by key and group of metrics (part): how many metrics it has, and
+    the mean of their places between the first kind's mean (0) and the others' (1), clipped and raw.
+    Metrics whose means are the same say nothing."""
+    v = values.withColumn("_human", human)
+    m = v.groupBy("metric").agg(F.avg(F.when(F.col("_human"), F.col("value"))).alias("h"), F.avg(F.when(~F.col("_human"), F.col("value"))).alias("a")).where("abs(a - h) > 1e-9")
+    parts = F.explode(F.array(*[F.struct(F.lit(g).alias("part"), F.lit(name).alias("metric")) for g, names in groups.items() for name in names]))
+    m = m.join(values.sparkSession.range(1).select(parts.alias("x")).select("x.*"), "metric")  # a row for each metric and group
+    axis = (F.col("value") - F.col("h")) / (F.col("a") - F.col("h"))
+    found = v.join(F.broadcast(m), "metric").groupBy(key, "part")
+    return found.agg(F.count("*").alias("metric_count"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), axis))).alias("ai_likeness"), F.avg(axis).alias("ai_likeness_raw"))
+
+
 def closures(values: DataFrame, base: Column, target: Column, moved: Column) -> DataFrame:
     """Per metric: the three groups' means and how far `moved` closes base's gap to target."""
     m = values.groupBy("metric").agg(F.avg(F.when(base, F.col("value"))).alias("base_mean"), F.avg(F.when(target, F.col("value"))).alias("target_mean"), F.avg(F.when(moved, F.col("value"))).alias("moved_mean"))

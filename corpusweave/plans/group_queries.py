@@ -129,6 +129,15 @@ def composite_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(m), "metric").groupBy("doc_id").agg(F.avg(axis).alias("raw_axis"), F.avg(stats.clip(axis, 0.0, 1.0)).alias("clipped_axis"), F.count("*").alias("metric_count"))
 
 
+@query(f"""
+WITH {_VALUES}, m AS (SELECT metric, avg(value) FILTER (quality = 1) AS h, avg(value) FILTER (quality = 0) AS a FROM v GROUP BY 1), g AS (SELECT 'comma' AS part, 'comma_per_1k_chars' AS metric UNION ALL SELECT 'length', 'char_len' UNION ALL SELECT 'length', 'word_len')
+SELECT doc_id, part, count(*) AS metric_count, avg(greatest(0, least(1, (value - h) / (a - h)))) AS ai_likeness, avg((value - h) / (a - h)) AS ai_likeness_raw FROM v JOIN m USING (metric) JOIN g USING (metric) WHERE abs(a - h) > 1e-9 GROUP BY 1, 2
+""")
+def composite_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near each document's groups of metrics are to the second kind of texts."""
+    return reference.composites(values(spark, sf_dir), F.col("quality") == 1, "doc_id", {"comma": ["comma_per_1k_chars"], "length": ["char_len", "word_len"]})
+
+
 @query(f"""
 WITH {_VALUES}, m AS (SELECT metric, avg(value) FILTER (quality = 1) AS h, avg(value) FILTER (quality = 0) AS a, avg(value) FILTER (doc_id % 3 = 0) AS r FROM v GROUP BY 1),
 c AS (SELECT *, greatest(0, least(1.6, 1 - (abs(a - h) - abs(r - h)) / abs(a - h))) AS severity FROM m WHERE abs(a - h) > 0)

@@ -310,6 +310,19 @@ def lexicon_feature_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.density(docs(spark, sf_dir), ["doc_id"], found).select("doc_id", F.col("anti_slop_density").alias("density"))
 
 
+@query(f"""
+WITH {_FEATURES}, c AS (SELECT f, count(*) FILTER (quality = 1) AS h, count(*) FILTER (quality = 0) AS a FROM f JOIN labels USING (doc_id) GROUP BY 1), s AS (SELECT sum(h) AS sh, sum(a) AS sa FROM c),
+l AS (SELECT split_part(f, '|', 1) AS kind, split_part(f, '|', 2) || '|' || split_part(f, '|', 3) AS term, h, a, ((a + 0.5) / sa) / ((h + 0.5) / sh) AS lift FROM c, s WHERE h + a >= 5)
+SELECT kind, term, h AS human_count, a AS ai_count FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY lift DESC, a DESC, term) AS k FROM l WHERE lift >= 2) WHERE k <= 20
+""")
+def lexicon_terms_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest terms of each kind of feature, which are named by skip and tokens."""
+    terms = lexicon.feature_counts(_labelled(spark, sf_dir), ["quality"])
+    found = reference.lexicon(terms, F.col("quality") == 1, least=5, by=("kind", "skip", "key"), n="n")
+    found = found.withColumn("term", F.concat_ws("|", F.col("skip").cast("string"), "key"))
+    return reference.top_terms(found, "kind", 20, 2.0).select("kind", "term", "human_count", "ai_count")
+
+
 # Reports and audits.
 
 _LONG = """
