@@ -132,17 +132,23 @@ def budget_trimmed(text: Column, most: int, least: int) -> Column:
     """The leading sentences of a cleaned text whose tokens (here: characters, the stand-in codec)
     fit into `most`; the first `most` tokens where that leaves fewer than `least`."""
 
-    def of(t: Column) -> Column:
-        sentences = paragraph_sentences(t)
-
+    def kept(sentences: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
-            more = clean_source(F.concat(acc["raw"], s))
-            fits = acc["open"] & (F.char_length(more) <= most)
-            return F.struct(F.when(fits, F.concat(acc["raw"], s)).otherwise(acc["raw"]).alias("raw"), F.when(fits, more).otherwise(acc["kept"]).alias("kept"), fits.alias("open"))
+            joined = let(F.concat(acc["raw"], s), lambda raw: F.struct(raw.alias("raw"), clean_source(raw).alias("kept")))
+            return F.when(acc["open"], let(joined, lambda x: F.when(F.char_length(x["kept"]) <= most, F.struct(x["raw"].alias("raw"), x["kept"].alias("kept"), F.lit(True).alias("open"))).otherwise(F.struct(acc["raw"].alias("raw"), acc["kept"].alias("kept"), F.lit(False).alias("open"))))).otherwise(acc)
 
         start = F.struct(F.lit("").alias("raw"), F.lit("").alias("kept"), F.lit(True).alias("open"))
-        kept = F.aggregate(sentences, start, step, lambda acc: acc["kept"])
-        return F.when(F.char_length(t) <= most, t).otherwise(let(kept, lambda k: F.when(F.char_length(k) >= least, k).otherwise(clean_source(F.substring(t, 1, most)))))
+        return F.aggregate(sentences, start, step, lambda acc: acc["kept"])
+
+    def leading(t: Column) -> Column:
+        """Sentences of the text's start, if those before the last one, which may be cut, are more than fit."""
+        start = paragraph_sentences(F.substring(t, 1, 2 * most + 2))
+        size = lambda s: F.aggregate(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.lit(0), lambda acc, x: acc + F.char_length(x))
+        return let(start, lambda s: F.when(size(s) > most + 2, s).otherwise(paragraph_sentences(t)))  # joined, they lose two line ends at most
+
+    def of(t: Column) -> Column:
+        cut = lambda: let(kept(leading(t)), lambda k: F.when(F.char_length(k) >= least, k).otherwise(clean_source(F.substring(t, 1, most))))
+        return F.when(F.char_length(t) <= most, t).otherwise(cut())
 
     return let(clean_source(text), of)
 
