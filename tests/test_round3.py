@@ -9,7 +9,7 @@ from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from corpusweave.functions import tagging, text
-from corpusweave.operators import scorer, tagger
+from corpusweave.operators import lexicon, scorer, tagger
 from corpusweave.plans import queries as plans
 from corpusweave.plans.text_queries import docs
 
@@ -57,3 +57,16 @@ def test_budget_trim_reads_the_start_of_a_text(spark):
     long, blank = [r[0] for r in rows.coalesce(1).select(text.budget_trimmed(t, 1536, 256)).collect()]
     assert time.monotonic() - began < 20
     assert long == ("One.Two words." * 200)[: 1536 - 1536 % 14 + 4] and blank.startswith("a" * 20) and len(blank) <= 1536
+
+
+def test_features_of_all_batches_meet_once(spark):
+    """Each feature is one row of feature_counts(), counted over all batches and tasks, and goes through one exchange."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.concat(F.lit("same five words every time "), F.col("id").cast("string")).alias("text")).repartition(4)
+    found = lexicon.feature_counts(rows, []).collect()
+    assert len({(r["kind"], r["skip"], r["key"]) for r in found}) == len(found)
+    n = {(r["kind"], r["key"]): r["n"] for r in found}
+    assert n["unigram", "same"] == n["bigram", "every\ttime"] == n["skip_trigram", "same\tfive\tevery"] == 3000 and n["unigram", "17"] == 1
+    sides = lexicon.feature_sides(rows.withColumn("g", F.when(F.col("text") != "same five words every time 3", F.col("g"))), F.col("g") == 1)
+    assert {(r["human_count"], r["ai_count"]) for r in sides.where("key = 'same'").collect()} == {(1499, 1500)}
+    assert sides._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
