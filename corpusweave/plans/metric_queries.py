@@ -30,7 +30,8 @@ FROM m LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
 """)
 def basic_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = docs(spark, sf_dir).select("doc_id", text.strip(F.col("text")).alias("t")).select("doc_id", "t", text.sentences(F.col("t")).alias("s"))
-    return s.select("doc_id", *[c.alias(k) for k, c in scorer.basic_metrics(F.col("t"), F.col("s")).items()])
+    s, metrics = scorer.basic_metrics(s, "t", "s")
+    return s.select("doc_id", *[c.alias(k) for k, c in metrics.items()])
 
 
 @query(f"""

@@ -2,14 +2,16 @@
 
 import collections
 import math
+import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.functions import style_arrays, tagging
-from corpusweave.operators import tagger
+from corpusweave.functions import style_arrays, tagging, text, text_arrays
+from corpusweave.operators import scorer, tagger
 
 
 def test_training_reads_texts_once_a_round(spark):
@@ -49,3 +51,38 @@ def test_style_arrays_by_hand():
         assert m["sentence_length_mean_morphs"] == (pytest.approx(np.mean(lengths)) if lengths else None)
         assert m["sentence_length_cv"] == (pytest.approx(np.std(lengths) / np.mean(lengths)) if sum(lengths) else None)
         assert m["sentence_length_median_morphs"] == pytest.approx(np.median(lengths) if lengths else 0.0)
+
+
+def test_cycles_and_bursts_by_hand():
+    rng = random.Random(3)
+    texts = ["", "x" * 19 + "가" * 9, "!" * 20, "ab" * 6, "ab" * 5 + "a", "xabcabcabcabcabcabc", "y" + "0123456789abcdefghijklmnopqrst" * 6, "z" + "0123456789abcdefghijklmnopqrstu" * 6]
+    texts += ["".join("".join(rng.choice("ab\n") for _ in range(rng.randrange(1, 7))) * rng.randrange(1, 8) for _ in range(4)) for _ in range(300)]
+    want = [bool(re.search(r"(?s)(.{2,30})\1{5,}|([가-힣A-Za-z])\2{9}|(.)\3{19}", t)) for t in texts]
+    assert text_arrays.cycling(pa.array(texts)).tolist() == want and any(want[8:]) and not all(want[8:])
+
+    def burst(words):
+        def top(part):
+            return max(collections.Counter(part).values(), default=0)
+
+        short = [w for w in words if len(w) <= 2]
+        if len(words) < 60:
+            return False
+        parts = [[w for w in words[k : k + 90] if len(w) <= 2] for k in range(0, max(1, len(words) - 89), 15)]
+        return (len(short) >= 40 and top(short) >= 0.28 * len(short)) or any(len(p) >= 25 and top(p) >= 14 for p in parts)
+
+    lists = [[rng.choice(["a", "b", "c", "d", "long", "words"] + ["other"] * k) for _ in range(n)] for k in (0, 3, 9) for n in (10, 59, 60, 89, 90, 200, 400)]
+    assert text_arrays.bursting(pa.array(lists)).tolist() == [burst(x) for x in lists]
+
+
+def test_a_contract_is_judged_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(text.collapse_reason(F.col("t")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("post_result_text") == 1 and "{2,30}" not in plan
+
+
+def test_parts_of_basic_metrics_are_computed_once(spark):
+    df, metrics = scorer.basic_metrics(spark.createDataFrame([("한같은 x. 같은 b같은c같은 너듯한", ["한같은 x.", "같은 b같은c같은 너듯한"])], "t string, s array<string>"), "t", "s")
+    df = df.select(*[c.alias(k) for k, c in metrics.items()])
+    row = df.first()
+    assert row["simile_marker_count"] == sum(len(re.findall(p, "한같은 x. 같은 b같은c같은 너듯한")) for p in text.SIMILES) == 3 and row["simile_sentence_rate"] == 1.0
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("{2,}") == 1
