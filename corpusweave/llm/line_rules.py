@@ -61,14 +61,15 @@ def repeated_words(ws: Column, size: int) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that holds a word is to be removed."""
-    upper, lower = chars_of(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars_of(line, "abcdefghijklmnopqrstuvwxyz")
-    separators = chars_of(line, SEPARATORS)
+    holds = lambda chars: F.rlike(line, F.lit(f"[{chars}]"))
+    # Characters are counted only in lines that can fail by their number.
+    shouting = lambda: let(F.struct(chars_of(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("u"), chars_of(line, "abcdefghijklmnopqrstuvwxyz").alias("l")), lambda x: (x["u"] >= 10) & (x["u"] > x["l"]))
     return (
         ~F.rlike(line, F.lit(CLOSED))
-        | (chars_of(line, SYMBOLS) * 10 > F.char_length(line))
-        | ((separators >= 3) & (separators * 20 > F.char_length(line)))
-        | let(F.struct(upper.alias("u"), lower.alias("l")), lambda x: (x["u"] >= 10) & (x["u"] > x["l"]))
-        | let(words(line), lambda w: (F.size(w) >= 10) & (F.size(F.array_distinct(w)) * 10 < F.size(w)))
+        | (holds(SYMBOLS) & (chars_of(line, SYMBOLS) * 10 > F.char_length(line)))
+        | (holds(SEPARATORS) & let(chars_of(line, SEPARATORS), lambda n: (n >= 3) & (n * 20 > F.char_length(line))))
+        | (F.rlike(line, F.lit("[A-Z](?:[^A-Z]*+[A-Z]){9}")) & shouting())
+        | ((F.char_length(line) >= 19) & let(words(line), lambda w: (F.size(w) >= 10) & (F.size(F.array_distinct(w)) * 10 < F.size(w))))
         | F.rlike(F.lower(line), F.lit(BOILERPLATE))
     )
 

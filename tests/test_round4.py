@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.functions import style_arrays, tagging, text, text_arrays
+from corpusweave.llm import line_rules
 from corpusweave.operators import scorer, tagger
 
 
@@ -86,3 +87,19 @@ def test_parts_of_basic_metrics_are_computed_once(spark):
     row = df.first()
     assert row["simile_marker_count"] == sum(len(re.findall(p, "한같은 x. 같은 b같은c같은 너듯한")) for p in text.SIMILES) == 3 and row["simile_sentence_rate"] == 1.0
     assert df._jdf.queryExecution().optimizedPlan().toString().count("{2,}") == 1
+
+
+def test_lines_at_the_limits_of_their_counts(spark):
+    cases = [("ABCDEFGHIJ abcdefghi.", True), ("ABCDEFGHI abcdefgh.", False), ("ABCDEFGHIJ abcdefghij.", False), ("a" * 8 + "#.", False), ("a" * 7 + "#.", True), ("a | b | c | d end of it.", True), ("a | b | " + "c" * 60 + ".", False), (("a " * 10 + "a.").strip(), False), ("a a a a a a a a a a a.a a a a a a a a a a a a a.", True), ("a b c d e f g h i j.", False)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    df = df.select("k", line_rules.line_fails(F.col("t")).alias("x"))
+    got = {r["k"]: r["x"] for r in df.collect()}
+
+    def plain(t):
+        count = lambda chars: sum(c in chars for c in t)
+        upper, lower, bars, words = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t), count(line_rules.SEPARATORS), t.split()
+        return count(line_rules.SYMBOLS) * 10 > len(t) or (bars >= 3 and bars * 20 > len(t)) or (upper >= 10 and upper > lower) or (len(words) >= 10 and len(set(words)) * 10 < len(words))
+
+    assert got == {k: plain(t) for k, (t, _) in enumerate(cases)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "{9}" in plan, "letters are counted in every line"
