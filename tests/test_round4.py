@@ -8,10 +8,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusweave.functions import style_arrays, tagging, text, text_arrays
-from corpusweave.llm import line_rules
+from corpusweave.llm import line_rules, repeats
 from corpusweave.operators import scorer, tagger
 
 
@@ -103,3 +104,13 @@ def test_lines_at_the_limits_of_their_counts(spark):
     assert got == {k: plain(t) for k, (t, _) in enumerate(cases)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "{9}" in plan, "letters are counted in every line"
+
+
+def test_blocks_are_packed_more_than_at_the_first_level():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    raw = " ".join(rng.choice(words) for _ in range(20000)).encode()
+    empty = {c: np.zeros(0, t) for c, t in repeats.SPANS[repeats.COVERED]}
+    first = zstandard.ZstdCompressor(level=1).compress((0).to_bytes(8, "little") + raw)
+    packed = repeats._pack(repeats.COVERED, empty, raw)
+    assert len(packed) < 0.95 * len(first) and repeats._unpack(repeats.COVERED, [packed])[1].tobytes() == raw
