@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -107,10 +108,8 @@ def test_lines_at_the_limits_of_their_counts(spark):
 
 
 def test_blocks_are_packed_more_than_at_the_first_level():
-    rng = random.Random(5)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
-    raw = " ".join(rng.choice(words) for _ in range(20000)).encode()
+    raw = "".join(t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()).encode()
     empty = {c: np.zeros(0, t) for c, t in repeats.SPANS[repeats.COVERED]}
     first = zstandard.ZstdCompressor(level=1).compress((0).to_bytes(8, "little") + raw)
     packed = repeats._pack(repeats.COVERED, empty, raw)
-    assert len(packed) < 0.95 * len(first) and repeats._unpack(repeats.COVERED, [packed])[1].tobytes() == raw
+    assert len(packed) < 0.9 * len(first) and repeats._unpack(repeats.COVERED, [packed])[1].tobytes() == raw
