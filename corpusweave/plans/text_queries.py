@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions import arrays, text
 from corpusweave.plans.registry import query
-from corpusweave.sources.tables import bounded_batches, spread, table
+from corpusweave.sources.tables import bounded_batches, dealt, spread, table
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
@@ -151,12 +151,13 @@ SALTS = 16
 def multiset_overlap(d: DataFrame, b: DataFrame, cut: float = 0.5, least: int = 2) -> DataFrame:
     """Multiset Jaccard and containment of the words of at least `least` characters, for the pairs
     of d(doc_id, text) and b(item_id, text) whose containment reaches `cut`. Rows of one key are one
-    text. After the first exchange a document stays in its partition, so neither its words nor its
-    pairs are shuffled again unless b must be joined by sorting."""
+    text. Only texts are shuffled, into parts of bounded size: a document's words and pairs stay in
+    its part unless b must be joined by sorting, so what a task holds doesn't grow with d."""
 
     def whole(df: DataFrame, key: str, size: str) -> DataFrame:
         found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.char_length(t) >= least)
-        return df.select(key, found.alias("t")).groupBy(key).agg(F.flatten(F.collect_list("t")).alias("t")).select(key, F.size("t").cast("long").alias(size), F.explode("t").alias("w"))
+        texts = dealt(df.select(key, "text"), key).groupBy(key).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        return texts.select(key, found.alias("t")).select(key, F.size("t").cast("long").alias(size), F.explode("t").alias("w"))
 
     x = whole(d, "doc_id", "dn").groupBy("doc_id", "dn", "w").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     y = whole(b, "item_id", "bn").groupBy("item_id", "bn", "w").agg(F.count("*").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -174,7 +175,7 @@ SELECT doc_id, item_id, k / (dt.n + bt.n - k)::DOUBLE AS jaccard, k / least(dt.n
 FROM o JOIN dt USING (doc_id) JOIN bt USING (item_id) WHERE k >= 0.5 * least(dt.n, bt.n)
 """)
 def multiset_overlap_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_overlap(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return multiset_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("""

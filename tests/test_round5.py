@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions import tagging
 from corpusweave.operators import scorer
-from corpusweave.sources.tables import BATCH_BYTES, SIZES, bounded_batches
+from corpusweave.plans.text_queries import multiset_overlap
+from corpusweave.sources.tables import BATCH_BYTES, SIZES, bounded_batches, dealt
 
 
 def test_long_texts_go_to_python_in_batches_of_bounded_bytes(spark):
@@ -45,3 +46,18 @@ def test_gram_sets_of_turns_are_made_once(spark, tmp_path):
         return 0.30 * c + 0.25 * w + 0.25 * n + 0.20 * p if x[3] | y[3] else 0.35 * c + 0.30 * w + 0.35 * n
 
     assert got == pytest.approx({(g, i, j): want(texts[i % len(texts)], texts[j % len(texts)]) for g, i, j in got})
+
+
+def test_texts_are_dealt_out_in_parts_of_bounded_size(spark):
+    cores = spark.sparkContext.defaultParallelism
+    long = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
+    short = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    items = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    for d, parts in ((long, 12), (short, 20), (long.limit(1), cores)):
+        assert dealt(d, "doc_id").rdd.getNumPartitions() == max(cores, parts)
+    out = multiset_overlap(long.union(spark.createDataFrame([(0, "one"), (200, None)], "doc_id long, text string")), items)
+    got = {r["doc_id"]: (r["jaccard"], r["containment"]) for r in out.collect()}
+    assert got == {k: (1 / (200_001 if k == 0 else 200_000), 1.0) for k in range(100)}
+    # Spark may put small parts of an exchange of its own together, up to what no longer fits a task.
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
