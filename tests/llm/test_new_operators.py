@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -196,6 +197,32 @@ def test_reassembly_of_nothing(spark):
     assert reassembly.reassemble(reassembly.arrivals(spark.createDataFrame([], TURNS)), 2).collect() == []
 
 
+def test_reassembly_of_many_partitions_writes_few_files(spark, monkeypatch):
+    """Small parts asked for by the session don't multiply a batch's files, and a local folder's checkpoint files need no process each."""
+    rows = spark.range(20_000).selectExpr("id % 50 conv_id", "id div 50 turn", "'user' role", "concat('user|', sha2(string(id), 256)) payload", "0L first", "int(id % 2) batch")
+    manager, small = "spark.sql.streaming.checkpointFileManagerClass", {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before, seen, events, path = {k: spark.conf.get(k) for k in small}, [], reassembly.events, reassembly.table_path
+    tops = []
+    monkeypatch.setattr(reassembly, "table_path", lambda *a: tops.append(path(*a)) or tops[-1])
+
+    def watched(*a):
+        files = Path(tops[0].removeprefix("file:")).glob("fed/part=*/*.parquet")
+        seen.append((len(list(files)), spark.conf.get(manager, "").rpartition(".")[2]))
+        return events(*a)
+
+    monkeypatch.setattr(reassembly, "events", watched)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = Counter(r.event for r in reassembly.reassemble(rows, 2).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out == {"release": 20_000, "close": 50}
+    assert {x for _, x in seen} == {"FileSystemBasedCheckpointFileManager"} and spark.conf.get(manager, None) is None
+    assert len(seen) == 3 and seen[-1][0] <= 2 * 4 + 1
+
+
 # --- language model
 
 
